@@ -1,0 +1,155 @@
+"""Mergeable percentiles of very large columns with a deterministic rank error.
+
+A value is quantised to one of ``2**UNIVERSE_BITS`` ordered cells (the top bits of
+its IEEE representation: a relative width of 2**-12).  Per key the counts live in a
+dyadic tree over the cells, held as rows ``(key..., node, n)`` where a node of level
+``l`` (0 = one cell) is the number ``2**(UNIVERSE_BITS-l) + (cell >> l)``.  Digests
+of partitions, days or runs are merged by adding up equal nodes.  Compression moves
+the counts of a light node, its sibling and their parent into the parent while the
+sum is at most ``n // k``; every cell then has at most ``UNIVERSE_BITS * n / k`` rows
+counted above it in the tree, which bounds the rank error.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: 11 exponent bits and 12 mantissa bits of a non-negative double.
+UNIVERSE_BITS = 23
+MANTISSA_BITS = 12
+#: Compression parameter: rank error at most UNIVERSE_BITS / K of the rows (0.28 %).
+K = 8192
+
+
+def cell_of(x: Column) -> Column:
+    """Order-preserving cell number of a non-negative finite double.
+
+    x = m * 2**e with 1 <= m < 2 goes to ((e + 1023) << 12) + floor((m - 1) * 2**12);
+    values below 2**-1022 share cell 0.
+    """
+    e0 = F.greatest(F.floor(F.log2(x)), F.lit(-1022)).cast("int")
+    # log2 may round up to the next whole number just below a power of two
+    e = F.when(F.pow(F.lit(2.0), e0) > x, e0 - 1).otherwise(e0)
+    mantissa = x / F.pow(F.lit(2.0), e) - 1
+    cell = (e + 1023).cast("long") * (1 << MANTISSA_BITS) + F.floor(mantissa * (1 << MANTISSA_BITS))
+    return F.when(x < 2.2250738585072014e-308, F.lit(0)).otherwise(cell).cast("long")
+
+
+def value_of(cell: Column) -> Column:
+    """The middle of a cell's range of values."""
+    e = F.floor(cell / (1 << MANTISSA_BITS)) - 1023
+    m = 1 + (F.pmod(cell, F.lit(1 << MANTISSA_BITS)) + 0.5) / (1 << MANTISSA_BITS)
+    return F.when(cell == 0, F.lit(0.0)).otherwise(m * F.pow(F.lit(2.0), e))
+
+
+def _compressor(keys: list[str], k: int):
+    """applyInArrow function: the compressed tree of one key.  The tree of a key has
+    at most 2**(UNIVERSE_BITS+1) nodes however many rows were counted."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node = t.column("node").to_numpy().astype(np.int64)
+        n = t.column("n").to_numpy().astype(np.int64)
+        limit = n.sum() // k
+        done_node, done_n = [], []
+        for level in range(UNIVERSE_BITS):
+            low = 1 << (UNIVERSE_BITS - level)
+            here = node >= low
+            if not here.any():
+                continue
+            up = node[here] >> 1
+            parent, at = np.unique(up, return_inverse=True)
+            total = np.bincount(at, weights=n[here], minlength=len(parent)).astype(np.int64)
+            rest_node, rest_n = node[~here], n[~here]
+            # the parents' own counts
+            order = np.argsort(rest_node)
+            rest_node, rest_n = rest_node[order], rest_n[order]
+            pos = np.minimum(np.searchsorted(rest_node, parent), max(len(rest_node) - 1, 0))
+            own = np.where(rest_node[pos] == parent, rest_n[pos], 0) if len(rest_node) else np.zeros(len(parent), np.int64)
+            merge = total + own <= limit
+            stay = ~merge[at]
+            done_node.append(node[here][stay])
+            done_n.append(n[here][stay])
+            if len(rest_node):
+                hit = merge & (own > 0)
+                rest_n = rest_n.copy()
+                rest_n[pos[hit]] += total[hit]
+                new = merge & (own == 0)
+            else:
+                new = merge
+            node = np.concatenate([rest_node, parent[new]])
+            n = np.concatenate([rest_n, total[new]])
+        node, n = np.concatenate([*done_node, node]), np.concatenate([*done_n, n])
+        first = t.slice(0, 1).select(keys).take(pa.array(np.zeros(len(node), np.int64)))
+        return first.append_column("node", pa.array(node)).append_column("n", pa.array(n))
+
+    return run
+
+
+def compress(digest: DataFrame, keys: Sequence[str], k: int = K) -> DataFrame:
+    """Compress the trees of keys with more than ``k`` rows; smaller ones stay exact.
+
+    Only trees that can shrink go through Python, and each of these is bounded by
+    the universe, not by the number of rows.
+    """
+    keys = list(keys)
+    totals = digest.groupBy(*keys).agg(F.sum("n").alias("__n"), F.count(F.lit(1)).alias("__nodes"))
+    cond = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys])
+    both = digest.alias("a").join(totals.alias("b"), cond).select("a.*", "__n", "__nodes")
+    can = (F.col("__n") >= k) & (F.col("__nodes") > 1)
+    small = both.filter(~can).select(*keys, "node", "n")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema.fields)
+    large = both.filter(can).select(*keys, "node", "n").groupBy(*keys).applyInArrow(_compressor(keys, k), schema)
+    return small.unionByName(large)
+
+
+def build_digest(df: DataFrame, keys: Sequence[str], value: str, k: int | None = K) -> DataFrame:
+    """Digest per key of the non-negative finite values; others are not counted.
+
+    Counts are combined on the map side by (key, cell) before they are shuffled, and
+    they are shuffled by (key, cell): a key with a third of all rows is no hot spot.
+    Null keys form a group of their own.  ``k=None`` leaves the trees uncompressed.
+    """
+    x = F.col(value).cast("double")
+    ok = x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf"))
+    leaf = (F.lit(1 << UNIVERSE_BITS) + cell_of(x)).alias("node")
+    nodes = df.filter(ok).select(*keys, leaf).groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("n"))
+    return nodes if k is None else compress(nodes, keys, k)
+
+
+def merge_digests(digests: Sequence[DataFrame], keys: Sequence[str], k: int | None = K) -> DataFrame:
+    """Digest of all rows behind several digests: equal nodes are added up."""
+    every = reduce(DataFrame.unionByName, [d.select(*keys, "node", "n") for d in digests])
+    nodes = every.groupBy(*keys, "node").agg(F.sum("n").alias("n"))
+    return nodes if k is None else compress(nodes, keys, k)
+
+
+def quantiles(digest: DataFrame, keys: Sequence[str], pcts: Sequence[int]) -> DataFrame:
+    """``(key..., pct, value, n_rows)``: the value of rank ceil(pct/100 * n) per key.
+
+    Nodes are ordered by the greatest cell they cover, smaller nodes first; the rank is
+    off by at most UNIVERSE_BITS/K * n rows and the value by half a cell (2**-13).
+    """
+    level = F.lit(UNIVERSE_BITS) - F.floor(F.log2(F.col("node"))).cast("int")
+    top = (F.pow(F.lit(2), level) * (F.col("node") + 1) - 1).cast("long")
+    high = (top - (1 << UNIVERSE_BITS)).alias("high")
+    w = Window.partitionBy(*keys)
+    upto = w.orderBy("high", F.desc("node")).rowsBetween(Window.unboundedPreceding, 0)
+    cum = (
+        digest.select(*keys, "node", "n", high)
+        .withColumn("below", F.sum("n").over(upto))
+        .withColumn("n_rows", F.sum("n").over(w))
+    )
+    want = [
+        F.min(F.when(F.col("below") * 100 >= F.col("n_rows") * int(p), F.col("high"))).alias(f"p{int(p)}") for p in pcts
+    ]
+    flat = cum.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"), *want)
+    pairs = F.array(*[F.struct(F.lit(int(p)).alias("pct"), F.col(f"p{int(p)}").alias("cell")) for p in pcts])
+    one = flat.select(*keys, "n_rows", F.explode(pairs).alias("x"))
+    return one.select(*keys, F.col("x.pct").alias("pct"), value_of(F.col("x.cell")).alias("value"), "n_rows")
