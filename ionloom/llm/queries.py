@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import personal
+from . import leakage, personal
+
+
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks with the repeated share of the item's words and of its question."""
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +25,5 @@ def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.mask_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_masked)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_leaks, p8_found, p8_masked)}
 ORACLES: dict[str, str] = {}
