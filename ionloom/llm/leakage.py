@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 from math import ceil, log
 
 import numpy as np
@@ -38,7 +39,7 @@ BLOCK = 64
 K1, B = 1.2, 0.75
 
 _WORD = re.compile(r"[^\W_]+")
-_BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
+_BROKEN = re.compile(r"-(?<=[^\W\d_]-)[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 
 
 def words_of(text: str) -> list[str]:
@@ -189,7 +190,7 @@ def _leaks(items: list[tuple[int, str, str]], retrieve: float, share: float, gap
             ids = batch.column(0)
             docs = [words_of(t) if t else [] for t in batch.column(1).to_pylist()]
             sizes = np.array([len(d) for d in docs], np.int64)
-            flat = np.fromiter((code(w, 0) for d in docs for w in d), np.int64, int(sizes.sum()))
+            flat = np.array(list(map(code, chain.from_iterable(docs), repeat(0))), np.int64)
             first = np.append(0, np.cumsum(sizes))
             rows: list[tuple[int, int, float, float]] = []
             if len(flat) >= RUN and len(index.terms):
