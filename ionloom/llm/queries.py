@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, personal
+from . import leakage, mixing, personal
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen amounts and actual shares per target source."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken."""
+    return _mix(spark, sf_dir)[1].withColumnRenamed("id", "doc_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_report(spark, sf_dir).filter("short").select("source")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"))
 
@@ -25,5 +43,12 @@ def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.mask_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_leaks, p8_found, p8_masked)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p6_found, p6_leaks, p7_found, p7_mixture, p7_report, p8_found, p8_masked)}
+# Characters stand for tokens: any usual tokenizer gives the same sources.
+ORACLES = {
+    "p7_found": """
+WITH d AS (SELECT LOWER(TRIM(source)) AS s, SUM(LENGTH(text)) AS n FROM documents GROUP BY 1),
+t AS (SELECT SUM(n) AS total FROM d WHERE s IN (SELECT LOWER(TRIM(source)) FROM mix_target))
+SELECT m.source FROM mix_target m LEFT JOIN d ON d.s = LOWER(TRIM(m.source)), t
+WHERE m.max_repeats * COALESCE(d.n, 0) < m.weight * t.total""",
+}
