@@ -94,24 +94,23 @@ def classify_lines(raw: DataFrame) -> DataFrame:
     n = len(COLUMNS)
     df = _lines(raw)
     df = df.withColumn("__q", _by_sep(_well_quoted)).withColumn("__n", _by_sep(_separators) + 1)
-    df = df.withColumn("__f", _by_sep(_permissive))
+    # explode keeps the optimizer from copying the parser into every use of its result
+    df = df.withColumn("__f", F.explode(F.array(_by_sep(_permissive))))
     values = F.array(*[F.col(f"__f.c{i}") for i in range(n)])
     order = F.when(F.size("header") == n, F.col("header")).otherwise(F.array(*[F.lit(c) for c in COLUMNS]))
     fields = F.map_from_arrays(F.array_distinct(order), values)
     df = df.withColumn("__o", order)
-    df = df.withColumn("__m", F.when((F.size(F.array_distinct("__o")) == n), fields))
+    df = df.withColumn("__m", F.explode(F.array(F.when(F.size(F.array_distinct("__o")) == n, fields))))
     get = lambda c: F.coalesce(F.try_element_at("__m", F.lit(c)), F.lit(""))
     mz = F.trim(get("precursor_mz"))
-    df = df.select(
-        "file_name",
-        "line_no",
-        "line_text",
-        "__q",
-        "__n",
+    parsed = F.struct(
         *[get(c).alias(c) for c in COLUMNS],
         F.when(mz.rlike(f"^{NUMBER}$"), mz.try_cast("double")).alias("__mz"),
         peaks_of(get("peaks")).alias("__peaks"),
     )
+    df = df.select("file_name", "line_no", "line_text", "__q", "__n", F.explode(F.array(parsed)).alias("__p")).select(
+        "file_name", "line_no", "line_text", "__q", "__n", "__p.*"
+    )
     bad_mz = F.coalesce(~((F.col("__mz") > 0) & (F.col("__mz") < 2000)), F.lit(True))
     bad_peaks = F.coalesce(F.size("__peaks") != F.trim("num_peaks").try_cast("int"), F.lit(True)) | F.col("__peaks").isNull()
     reason = (
