@@ -13,6 +13,8 @@ from math import log, pi, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spectral import let
+
 INF = float("inf")
 
 
@@ -48,8 +50,10 @@ class Aligned:
     def rows_n(self) -> Column:
         return F.size(self.rows).cast("double")
 
-    def means(self) -> tuple[Column, Column]:
-        return _div(self.sum(lambda p, q: p), self.rows_n), _div(self.sum(lambda p, q: q), self.rows_n)
+    def with_means(self, body: Callable[[Column, Column], Column]) -> Column:
+        """``body`` of the mean of both sides over all rows."""
+        means = F.struct(_div(self.sum(lambda p, q: p), self.rows_n).alias("p"), _div(self.sum(lambda p, q: q), self.rows_n).alias("q"))
+        return let(means, lambda m: body(m.p, m.q))
 
 
 def _xlogx(x: Column) -> Column:
@@ -62,18 +66,24 @@ def _entropy(a: Aligned, f) -> Column:
     return F.when(total > 0, F.ln(F.greatest(total, F.lit(1e-300))) - _div(a.sum(lambda p, q: _xlogx(f(p, q))), total)).otherwise(0.0)
 
 
-def _weighted(a: Aligned) -> Aligned:
-    """Both sides raised to 0.25 + 0.25 S where their entropy S is below 3."""
-    sides = []
-    for f in (lambda p, q: p, lambda p, q: q):
-        s = _entropy(a, f)
-        e = F.when(s < 3, 0.25 + 0.25 * s).otherwise(1.0)
-        sides.append(e)
-    up = a.map(
-        lambda p: F.when(p > 0, F.pow(p, sides[0])).otherwise(0.0), lambda q: F.when(q > 0, F.pow(q, sides[1])).otherwise(0.0)
-    )
-    tp, tq = up.sum(lambda p, q: p), up.sum(lambda p, q: q)
-    return up.map(lambda p: _div(p, tp), lambda q: _div(q, tq))
+def _pow(x: Column, e: Column) -> Column:
+    return F.when(x > 0, F.pow(x, e)).otherwise(0.0)
+
+
+def _with_weights(a: Aligned, body: Callable[[Aligned], Column]) -> Column:
+    """Both sides raised to 0.25 + 0.25 S where their entropy S is below 3, and rescaled."""
+    exponent = lambda f: let(_entropy(a, f), lambda s: F.when(s < 3, 0.25 + 0.25 * s).otherwise(1.0))
+
+    def raised(e: Column) -> Column:
+        return a.map(lambda p: _pow(p, e.p), lambda q: _pow(q, e.q)).rows
+
+    def scaled(rows: Column) -> Column:
+        up = Aligned(rows)
+        totals = F.struct(up.sum(lambda p, q: p).alias("p"), up.sum(lambda p, q: q).alias("q"))
+        return let(totals, lambda t: up.map(lambda p: _div(p, t.p), lambda q: _div(q, t.q)).rows)
+
+    exponents = F.struct(exponent(lambda p, q: p).alias("p"), exponent(lambda p, q: q).alias("q"))
+    return let(let(let(exponents, raised), scaled), lambda rows: body(Aligned(rows)))
 
 
 def _unweighted_entropy(a: Aligned) -> Column:
@@ -98,39 +108,36 @@ def _dot(a: Aligned) -> Column:
 
 
 def _baroni(a: Aligned) -> Column:
-    top_p, top_q = a.max(lambda p, q: p), a.max(lambda p, q: q)
-    low = a.sum(F.least)
-    high = a.sum(F.greatest)
-    d = _root(low * a.sum(lambda p, q: F.greatest(top_p, top_q) - F.greatest(p, q)))
+    tops = F.greatest(a.max(lambda p, q: p), a.max(lambda p, q: q))
+    low, high = a.sum(F.least), a.sum(F.greatest)
+    d = let(tops, lambda t: _root(low * a.sum(lambda p, q: t - F.greatest(p, q))))
     return 1 - _div(low + d, high + d)
 
 
 def _hellinger(a: Aligned) -> Column:
-    mp, mq = a.means()
-    return _root(2 * a.sum(lambda p, q: F.pow(_root(_div(p, mp)) - _root(_div(q, mq)), F.lit(2.0))))
+    return a.with_means(lambda mp, mq: _root(2 * a.sum(lambda p, q: F.pow(_root(_div(p, mp)) - _root(_div(q, mq)), F.lit(2.0)))))
 
 
 def _whittaker(a: Aligned) -> Column:
-    mp, mq = a.means()
-    return 0.5 * a.sum(lambda p, q: F.abs(_div(p, mp) - _div(q, mq)))
+    return a.with_means(lambda mp, mq: 0.5 * a.sum(lambda p, q: F.abs(_div(p, mp) - _div(q, mq))))
 
 
 def _symmetric_chi(a: Aligned) -> Column:
-    mp, mq = a.means()
-    s = a.sum(lambda p, q: _div(F.pow(p * mq - q * mp, F.lit(2.0)), p + q))
-    return _root(_div((mp + mq) * s, a.n * (mp + mq) * (mp + mq)))
+    s = lambda mp, mq: a.sum(lambda p, q: _div(F.pow(p * mq - q * mp, F.lit(2.0)), p + q))
+    return a.with_means(lambda mp, mq: _root(_div((mp + mq) * s(mp, mq), a.n * (mp + mq) * (mp + mq))))
 
 
 def _pearson(a: Aligned) -> Column:
-    mp, mq = a.means()
-    cov = a.sum(lambda p, q: (p - mp) * (q - mq))
-    var = a.sum(lambda p, q: (p - mp) * (p - mp)) * a.sum(lambda p, q: (q - mq) * (q - mq))
-    return -_div(cov, _root(var))
+    def body(mp: Column, mq: Column) -> Column:
+        cov = a.sum(lambda p, q: (p - mp) * (q - mq))
+        var = a.sum(lambda p, q: (p - mp) * (p - mp)) * a.sum(lambda p, q: (q - mq) * (q - mq))
+        return -_div(cov, _root(var))
+
+    return a.with_means(body)
 
 
 def _penrose_shape(a: Aligned) -> Column:
-    mp, mq = a.means()
-    return _root(a.sum(lambda p, q: F.pow((p - mp) - (q - mq), F.lit(2.0))))
+    return a.with_means(lambda mp, mq: _root(a.sum(lambda p, q: F.pow((p - mp) - (q - mq), F.lit(2.0)))))
 
 
 def _spectral_contrast(a: Aligned) -> Column:
@@ -141,7 +148,7 @@ def _spectral_contrast(a: Aligned) -> Column:
 #: Methods on ``array<struct<mz, p, q>>``.
 METHODS: dict[str, Callable[[Aligned], Column]] = {
     "unweighted_entropy": _unweighted_entropy,
-    "entropy": lambda a: _unweighted_entropy(_weighted(a)),
+    "entropy": lambda a: _with_weights(a, _unweighted_entropy),
     "euclidean": lambda a: _root(a.sum(_square)),
     "manhattan": lambda a: a.sum(_abs),
     "chebyshev": lambda a: a.max(_abs),
@@ -172,7 +179,7 @@ METHODS: dict[str, Callable[[Aligned], Column]] = {
     "absolute_value": lambda a: _div(a.sum(_abs), a.sum(lambda p, q: p)),
     "dot_product": _dot,
     "cosine": _dot,
-    "dot_product_reverse": lambda a: _dot(a.where(lambda p, q: q > 0)),
+    "dot_product_reverse": lambda a: let(a.where(lambda p, q: q > 0).rows, lambda rows: _dot(Aligned(rows))),
     "spectral_contrast_angle": _spectral_contrast,
     "wave_hedges": lambda a: a.sum(lambda p, q: _div(_abs(p, q), F.greatest(p, q))),
     "jaccard": lambda a: _div(a.sum(_square), a.sum(lambda p, q: p * p + q * q - p * q)),
@@ -194,7 +201,7 @@ def _weighted_dot(rows: Column) -> Column:
             (F.pow(r.q, F.lit(0.6)) * F.pow(r.mz_b, F.lit(3.0))).alias("q"),
         ),
     )
-    return _dot(Aligned(up))
+    return let(up, lambda rows: _dot(Aligned(rows)))
 
 
 def _fold(rows: Column, f) -> Column:

@@ -14,6 +14,12 @@ from pyspark.sql.window import Window
 ENTROPY_CUT, WEIGHT_BASE, WEIGHT_SLOPE = 3.0, 0.25, 0.25
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: Spark evaluates what stands in a
+    lambda anew for every element, unless it is a lambda variable itself."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total_intensity(peaks: Column) -> Column:
     return F.aggregate(peaks, F.lit(0.0), lambda a, p: a + p.intensity)
 
@@ -25,13 +31,13 @@ def with_intensity(peaks: Column, f) -> Column:
 
 def normalize(peaks: Column) -> Column:
     """Intensities that sum to one; a list without intensity becomes null."""
-    total = total_intensity(peaks)
-    return F.when(total > 0, with_intensity(peaks, lambda i: i / total))
+    scaled = lambda ps: let(total_intensity(ps), lambda t: F.when(t > 0, with_intensity(ps, lambda i: i / t)))
+    return let(peaks, scaled)
 
 
 def normalize_l2(peaks: Column) -> Column:
-    norm = F.sqrt(F.aggregate(peaks, F.lit(0.0), lambda a, p: a + p.intensity * p.intensity))
-    return F.when(norm > 0, with_intensity(peaks, lambda i: i / norm))
+    norm = lambda ps: F.sqrt(F.aggregate(ps, F.lit(0.0), lambda a, p: a + p.intensity * p.intensity))
+    return let(peaks, lambda ps: let(norm(ps), lambda t: F.when(t > 0, with_intensity(ps, lambda i: i / t))))
 
 
 def entropy(peaks: Column, base: float | None = None) -> Column:
@@ -60,8 +66,8 @@ def within(peaks: Column, low: Column | float | None = None, high: Column | floa
 
 def denoise(peaks: Column, threshold: float) -> Column:
     """Peaks of at least ``threshold`` times the strongest one."""
-    top = F.aggregate(peaks, F.lit(0.0), lambda a, p: F.greatest(a, p.intensity))
-    return F.filter(peaks, lambda p: p.intensity >= top * threshold)
+    top = lambda ps: F.aggregate(ps, F.lit(0.0), lambda a, p: F.greatest(a, p.intensity))
+    return let(peaks, lambda ps: let(top(ps), lambda t: F.filter(ps, lambda p: p.intensity >= t * threshold)))
 
 
 def sort_by_mz(peaks: Column) -> Column:

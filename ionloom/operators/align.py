@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spectral import let
+
 
 def _near(b: Column, a: Column, tol_da: float | None, tol_ppm: float | None) -> Column:
     width = F.lit(tol_da) if tol_da is not None else a * float(tol_ppm) * 1e-6
@@ -29,7 +31,11 @@ def _goes_to(a: Column, b: Column, tol_da: float | None, tol_ppm: float | None)
 
 def align(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm: float | None = None) -> Column:
     """``array<struct<mz, p, q>>``: intensities of a and the sum of b's at each m/z."""
-    b = _goes_to(a, b, tol_da, tol_ppm)
+    return let(_goes_to(a, b, tol_da, tol_ppm), lambda moved: _combine(a, moved))
+
+
+def _combine(a: Column, b: Column) -> Column:
+    """Rows of a list and of peaks with the m/z they go to."""
     mine = lambda x: F.filter(b, lambda y: y.to == x.mz)
     left = F.transform(
         a,
@@ -47,7 +53,10 @@ def align(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm: float | No
 
 def align_with_mz(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm: float | None = None) -> Column:
     """``array<struct<mz_a, p, mz_b, q>>``: as :func:`align`, with b's intensity-weighted m/z."""
-    b = _goes_to(a, b, tol_da, tol_ppm)
+    return let(_goes_to(a, b, tol_da, tol_ppm), lambda moved: _combine_mz(a, moved))
+
+
+def _combine_mz(a: Column, b: Column) -> Column:
     zero = F.lit(0.0)
 
     def row(x: Column) -> Column:
@@ -70,7 +79,10 @@ def merge(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm: float | No
 
 def align_strongest(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm: float | None = None) -> Column:
     """As :func:`align`, but only the strongest b that goes to an a counts; the others stay apart."""
-    b = _goes_to(a, b, tol_da, tol_ppm)
+    return let(_goes_to(a, b, tol_da, tol_ppm), lambda moved: _combine_strongest(a, moved))
+
+
+def _combine_strongest(a: Column, b: Column) -> Column:
     best = lambda to: F.array_max(F.transform(F.filter(b, lambda y: y.to == to), lambda y: F.struct(y.intensity, (-y.mz).alias("n"))))
     left = F.transform(
         a, lambda x: F.struct(x.mz.alias("mz"), x.intensity.alias("p"), F.coalesce(best(x.mz).intensity, F.lit(0.0)).alias("q"))
@@ -102,12 +114,4 @@ def hybrid_pair(a: Column, b: Column, shift: Column, tol_da: float = 0.05) -> Co
             F.when(power(moved(y)) > power(direct(y)), moved(y)).otherwise(direct(y)).alias("to"),
         ),
     )
-    mine = lambda x: F.filter(to, lambda y: y.to == x.mz)
-    left = F.transform(
-        a,
-        lambda x: F.struct(x.mz.alias("mz"), x.intensity.alias("p"), F.aggregate(mine(x), F.lit(0.0), lambda s, y: s + y.intensity).alias("q")),
-    )
-    rest = F.transform(
-        F.filter(to, lambda y: y.to.isNull()), lambda y: F.struct(y.mz.alias("mz"), F.lit(0.0).alias("p"), y.intensity.alias("q"))
-    )
-    return F.concat(left, rest)
+    return let(to, lambda rows: _combine(a, rows))

@@ -28,8 +28,11 @@ def merge_gaps(mz: np.ndarray, intensity: np.ndarray, tol: float) -> tuple[np.nd
     """Chains of peaks less than ``tol`` apart become one (weighted mean m/z, summed intensity)."""
     first = np.append(True, np.diff(mz) >= tol) if len(mz) else np.zeros(0, bool)
     at = np.flatnonzero(first)
-    total = np.add.reduceat(intensity, at) if len(at) else intensity
-    return (np.add.reduceat(mz * intensity, at) / total if len(at) else mz), total
+    if len(at) == len(mz):
+        return mz, intensity
+    total = np.add.reduceat(intensity, at)
+    alone = np.diff(np.append(at, len(mz))) == 1
+    return np.where(alone, mz[at], np.add.reduceat(mz * intensity, at) / total), total
 
 
 def centroid(mz: np.ndarray, intensity: np.ndarray, tol_da: float | None, tol_ppm: float | None = None) -> tuple[np.ndarray, np.ndarray]:

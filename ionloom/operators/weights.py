@@ -26,10 +26,12 @@ class Score:
 
 def entropy_weigh(peaks: Column) -> Column:
     """Intensities that sum to one, raised to 0.25 + 0.25 S where the entropy S is below 3."""
-    n = S.normalize(peaks)
-    s = S.entropy(n)
-    raised = S.normalize(S.with_intensity(n, lambda i: F.pow(i, S.WEIGHT_BASE + S.WEIGHT_SLOPE * s)))
-    return F.when(s < S.ENTROPY_CUT, raised).otherwise(n)
+
+    def weigh(n: Column) -> Column:
+        raised = lambda s: S.normalize(S.with_intensity(n, lambda i: F.pow(i, S.WEIGHT_BASE + S.WEIGHT_SLOPE * s)))
+        return S.let(S.entropy(n), lambda s: F.when(s < S.ENTROPY_CUT, raised(s)).otherwise(n))
+
+    return S.let(S.normalize(peaks), weigh)
 
 
 def _halved(peaks: Column) -> Column:
