@@ -56,7 +56,7 @@ def record_fields(records: DataFrame) -> DataFrame:
         .when(kind.startswith("OBJECT"), "object")
         .otherwise("string")
     )
-    return flat.filter(kind != "VOID").select(
+    return flat.filter(F.col("key").isNotNull() & (kind != "VOID")).select(
         "feed", "file_name", "exported_at", "record_no", F.lower("key").alias("field"), name.alias("type"),
         F.trim(F.try_variant_get("value", "$", "string")).alias("text"),
     )

@@ -1,0 +1,73 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ionloom.operators import quantiles as Q
+
+
+def exact(values, pct):
+    v = sorted(values)
+    return v[math.ceil(pct / 100 * len(v)) - 1]
+
+
+def test_cells_keep_order_and_width(spark):
+    r = random.Random(3)
+    xs = sorted([0.0, 1e-320, 1.0, 2.0, 0.5, 1e300] + [r.lognormvariate(0, 8) for _ in range(2000)])
+    df = spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1)
+    rows = df.select("x", Q.cell_of(F.col("x")).alias("c"), Q.value_of(Q.cell_of(F.col("x"))).alias("v")).orderBy("x").collect()
+    cells = [r.c for r in rows]
+    assert cells == sorted(cells) and 0 <= cells[0] and cells[-1] < 1 << Q.UNIVERSE_BITS
+    assert all(abs(r.v - r.x) <= r.x * 2**-13 * 1.001 for r in rows if r.x > 1e-300)
+
+
+def digest_check(spark, values, k):
+    df = spark.createDataFrame([("g", float(v)) for v in values], "k string, v double").repartition(4)
+    d = Q.build_digest(df, ["k"], "v", k).cache()
+    n = len(values)
+    assert d.agg(F.sum("n")).first()[0] == n
+    for r in Q.quantiles(d, ["k"], [1, 10, 50, 90, 99]).collect():
+        rank = sum(v <= r.value * (1 + 2**-12) for v in values)
+        low = sum(v < r.value * (1 - 2**-12) for v in values)
+        want, slack = math.ceil(r.pct / 100 * n), Q.UNIVERSE_BITS * (n // k)
+        assert low - slack <= want <= rank + slack
+    return d
+
+
+@pytest.mark.parametrize("k", [50, 8192])
+def test_rank_error_is_bounded(spark, k):
+    r = np.random.default_rng(0)
+    values = np.concatenate([r.lognormal(0, 2, 6000), np.full(2000, 0.25), r.uniform(0, 1e6, 500)])
+    d = digest_check(spark, values.tolist(), k)
+    if k == 50:
+        assert d.count() <= 3 * k * 1.2  # the tree stays small
+
+
+def test_small_groups_are_exact(spark):
+    vals = [3.0, 1.0, 2.0, 10.0, 7.0]
+    df = spark.createDataFrame([(v,) for v in vals], "v double").withColumn("k", F.lit(1))
+    got = {r.pct: r.value for r in Q.quantiles(Q.build_digest(df, ["k"], "v"), ["k"], [50, 90]).collect()}
+    for p in (50, 90):
+        assert abs(got[p] - exact(vals, p)) <= exact(vals, p) * 2**-12
+
+
+def test_digests_of_days_combine(spark):
+    r = np.random.default_rng(5)
+    days = [r.lognormal(i, 1, 3000) for i in range(3)]
+    parts = [Q.build_digest(spark.createDataFrame([("g", float(v)) for v in d], "k string, v double"), ["k"], "v", 100) for d in days]
+    merged = Q.merge_digests(parts, ["k"], 100)
+    every = np.concatenate(days)
+    for q in Q.quantiles(merged, ["k"], [50, 90]).collect():
+        assert q.n_rows == len(every)
+        rank = (every <= q.value).mean() * 100
+        assert abs(rank - q.pct) <= 2 * 100 * Q.UNIVERSE_BITS / 100
+
+
+def test_bad_values_null_keys_and_clashing_columns(spark):
+    data = [("a", 1.0, 5), ("a", None, 5), ("a", float("nan"), 5), ("a", -2.0, 5), ("a", float("inf"), 5), (None, 2.0, 5), (None, 2.0, 5)]
+    df = spark.createDataFrame(data, "k string, v double, node int")
+    got = {(r.k, r.n_rows) for r in Q.quantiles(Q.build_digest(df, ["k"], "v"), ["k"], [50]).collect()}
+    assert got == {("a", 1), (None, 2)}
+    assert Q.quantiles(Q.build_digest(df.limit(0), ["k"], "v"), ["k"], [50]).collect() == []
