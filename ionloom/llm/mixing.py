@@ -55,8 +55,8 @@ def _encoder(path: str):
     return held[path]
 
 
-#: Longest piece given to the tokenizer at once; longer texts are cut at line or word
-#: starts, which the split pattern never joins.
+#: Longest piece given to the tokenizer at once; longer texts are cut before blanks,
+#: where the split pattern never joins (a longer run without any blank is cut as it is).
 PIECE = 200_000
 
 
@@ -64,8 +64,8 @@ def _pieces(text: str) -> Iterator[str]:
     at = 0
     while len(text) - at > PIECE:
         cut = max(text.rfind(" ", at + 1, at + PIECE), text.rfind("\n", at + 1, at + PIECE))
-        # between a word and the blank before the next word
-        while cut > at and (text[cut - 1].isspace() or not text[cut + 1 : cut + 2].strip()):
+        # the start of a run of blanks: the token before ends there in any case
+        while cut > at and text[cut - 1].isspace():
             cut -= 1
         cut = cut if cut > at else at + PIECE
         yield text[at:cut]

@@ -195,7 +195,7 @@ class Finder:
         if "dot" in text and _DOT.search(text):
             self._try("dot", text, 0, len(text), None, found)
         for m in _LONG_NUMBER.finditer(text):
-            self._try("number", text, max(0, m.start() - 5), m.end() + 30, None, found)
+            self._try("number", text, max(0, m.start() - 12), m.end() + 30, None, found)
         for m in _PLACE_NUMBER.finditer(text):
             start = m.start()
             flat = _FLAT_BEFORE.search(text, max(0, start - 16), start)
