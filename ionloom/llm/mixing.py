@@ -109,9 +109,9 @@ def fit_classifier(docs: DataFrame, sources: list[str], rows: int = TRAIN_ROWS):
     # at most rows * sources identifiers
     train = docs.filter(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     model = LogisticRegression(
-        featuresCol="__x", labelCol="label", family="multinomial", regParam=0.02, maxIter=15, probabilityCol="__p", aggregationDepth=2
+        featuresCol="__x", labelCol="label", family="multinomial", regParam=0.02, maxIter=10, probabilityCol="__p", aggregationDepth=2
     )
-    return model.fit(cut_lineage(_features(train).select("__x", "label")))
+    return model.fit(cut_lineage(_features(train).select("__x", "label").coalesce(4)))  # a bounded sample
 
 
 def memberships(docs: DataFrame, sources: list[str], model) -> DataFrame:
@@ -125,7 +125,7 @@ def memberships(docs: DataFrame, sources: list[str], model) -> DataFrame:
     return scored.select("id", steps.alias("cell"))
 
 
-def fit_rates(cells: DataFrame, targets: list[float], caps: list[int], rounds: int = 40, tolerance: float = 1e-5) -> DataFrame:
+def fit_rates(cells: DataFrame, targets: list[float], caps: list[int], rounds: int = 25, tolerance: float = 1e-4) -> DataFrame:
     """``(cell, tokens, docs, rate)``: projected gradient least squares.
 
     Minimises the squared relative error of the expected tokens per source, with the
@@ -182,7 +182,7 @@ def mix_report(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER,
 
     Report: ``source, weight, max_repeats, docs, tokens`` (of the documents labelled with the
     source), ``expected_tokens`` (with soft members), ``target_tokens`` (weight times the
-    tokens of all labelled documents), ``rate``, ``chosen_tokens``, ``actual_share``, ``short``
+    tokens of all labelled documents), ``rate`` (chosen over expected tokens), ``chosen_tokens``, ``actual_share``, ``short``
     (all labelled documents taken max_repeats times stay below the target).
     Sources without documents have zero everywhere; a source named twice in ``targets``
     counts once.  Documents: ``id, source, tokens, rate, repeats``; a document is taken
