@@ -76,6 +76,7 @@ _NOT_ID = r"invoice|file ref|docket|sheet|volume|case|para|lists|ends in|sum of"
 _PHONE_WORDS = r"telephone|téléphone|phone|tel\b|tel\.|rufnummer|telefon|joint au|numéro|the number|call|mobile|fax|reached|records|and left"
 _NOT_PHONE = r"sum of|crowns|file ref|invoice|sheet|volume|docket|para|ells"
 _S = r"[ \t]*\n?[ \t]*"  # blanks with at most one line break
+_ABBR = r"(?:\.(?=[.,;)]|\s+[a-z(]))?"  # a dot before a capital ends the sentence
 _TOWN = r"[A-ZÀ-ÖØ-Þ][\w’'-]+"
 
 #: (what makes it worth a try, kind, pattern, base score, checksum, context words that help, that harm)
@@ -97,7 +98,7 @@ RULES = [
     ("number", "phone", r"(?<![\w.+-])0\d(?:[\s.]\d{2}){4}(?![\w-])", 0.5, None, _PHONE_WORDS, _NOT_PHONE),
     ("number", "phone", r"(?<![\w.+-])0\d{1,4}/\d{3,8}(?:[\s-]\d{2,5})?(?![\w-])", 0.4, None, _PHONE_WORDS, _NOT_PHONE),
     ("number", "phone", r"(?<![\w.+-])0\d{1,4}\s\d{3,8}-\d{2,5}(?![\w-])", 0.4, None, _PHONE_WORDS, _NOT_PHONE),
-    ("house", "address", rf"(?<![\w./§¶(\[-])(?:Flat\s+\d+[a-z]?,\s+)?(?<!page )(?<!Seite )\b\d+[a-z]?\s+(?!The\b|On\b|In\b|By\b|As\b|At\b|It\b)(?:[A-Z][\w’']*\.?\s+){{1,3}}?(?:Street|St\b\.?|Lane|Road|Rd\b\.?|Close|Court|Row|Avenue|Ave\b\.?|Drive|Square|Place|Terrace|Way)(?![\w’'])(?:,\s+{_TOWN}(?:\s+[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s+\d[A-Z]{{2}}\b)?)?", 0.6, None, "", ""),
+    ("house", "address", rf"(?<![\w./§¶(\[-])(?:Flat\s+\d+[a-z]?,\s+)?(?<!page )(?<!Seite )\b\d+[a-z]?\s+(?!(?:The|On|In|By|As|At|It)\b|(?:Regional|High|Supreme|District|Labour|Maritime)\s+Court\b)(?:[A-Z][\w’']*\.?\s+){{1,3}}?(?:Street|Lane|Road|Close|Court|Row|Avenue|Drive|Square|Place|Terrace|Way|(?:St|Rd|Ave)\b{_ABBR})(?![\w’'])(?:,\s+{_TOWN}(?:\s+[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s+\d[A-Z]{{2}}\b)?)?", 0.6, None, "", ""),
     ("street", "address", rf"\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|damm)\s+\d+[a-z]?(?:,\s+\d{{5}}\s+{_TOWN})?", 0.6, None, "", ""),
     ("house", "address", rf"(?<![\w./-])\d+[a-z]?,?\s+(?:rue|avenue|quai|boulevard|place|chemin|allée|impasse|cours|route)\s+(?:de\s+la\s+|de\s+l['’]|des\s+|du\s+|de\s+|d['’])?[A-ZÀ-ÖØ-Þ][\w’'-]*(?:,\s+\d{{5}}\s+{_TOWN})?", 0.6, None, "", ""),
 ]

@@ -28,6 +28,8 @@ CASES = {
     "items 4111 1111 1111 1112 of the case": set(),
     "residing at Flat 17, 152c St Orla's Close, Blenbeck ZN24 1TK, gave": {("address", "Flat 17, 152c St Orla's Close, Blenbeck ZN24 1TK")},
     "found at 47 Lantern St.. The": {("address", "47 Lantern St.")},
+    "at 63 Bellwether Ave. On appeal, 47 Lantern St., Marwick QX1 7LD until": {("address", "63 Bellwether Ave"), ("address", "47 Lantern St., Marwick QX1 7LD")},
+    "page 1\n\n12 Regional Court Quillmere": set(),
     "See the map of Mill Lane and Harbour Row in Elmditch.": set(),
     "wohnhaft Mühlweg 180, 05711 Quillsund, wurde": {("address", "Mühlweg 180, 05711 Quillsund")},
     "domicilié au 136, avenue des Tanneurs, 16537 Elmhaven, a": {("address", "136, avenue des Tanneurs, 16537 Elmhaven")},
