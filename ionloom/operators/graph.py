@@ -66,13 +66,13 @@ def mutual_top_k(edges: DataFrame, k: int) -> DataFrame:
 
 
 def _grow(limit: int):
-    """One connected component's edges, best first; an edge is skipped when it would
-    make a component larger than ``limit``."""
+    """Edges of one group between clusters of known sizes, best first: an edge is kept
+    when its clusters, with what has been joined to them, stay within ``limit``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "src", "dst"], ascending=[False, True, True])
         head: dict = {}
-        size: dict = {}
+        size = dict(zip(pdf["a"], pdf["na"], strict=True)) | dict(zip(pdf["b"], pdf["nb"], strict=True))
 
         def find(x):
             while head.setdefault(x, x) != x:
@@ -81,31 +81,52 @@ def _grow(limit: int):
             return x
 
         keep = []
-        for s, d in zip(pdf["src"], pdf["dst"], strict=True):
+        for s, d in zip(pdf["a"], pdf["b"], strict=True):
             a, b = find(s), find(d)
-            total = size.get(a, 1) + (0 if a == b else size.get(b, 1))
-            ok = not limit or total <= limit
+            ok = a == b or size[a] + size[b] <= limit
             if ok and a != b:
-                head[b], size[a] = a, total
+                a, b = min(a, b), max(a, b)
+                head[b], size[a] = a, size[a] + size[b]
             keep.append(ok)
-        return pdf.loc[keep, ["src", "dst", "score"]]
+        return pdf.loc[keep, ["src", "dst", "score", "a", "b"]]
 
     return run
 
 
-def capped_components(edges: DataFrame, limit: int) -> DataFrame:
+def capped_components(edges: DataFrame, limit: int, bands: int = 4) -> DataFrame:
     """Edges added by falling score so that no component exceeds ``limit`` nodes (0: no cap).
 
-    The order matters only within a connected component, so components are handled
-    independently; a component not larger than the limit keeps all its edges without
-    leaving the JVM.
+    The outcome is that of adding the edges one by one (ties: smaller src, dst).  Edges
+    are taken in ``bands`` of falling score.  Within a band an edge inside a cluster is
+    kept, one whose clusters together exceed the limit never can be; only the rest
+    depends on order, and only within its connected component of clusters, which is
+    what one task handles.  Clusters are as large as the limit at most, and full ones
+    no longer connect anything.
     """
     if not limit:
         return edges.select("src", "dst", "score")
-    comp = connected_components(edges)
-    sized = comp.join(comp.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")), "component")
-    e = edges.join(sized.select(F.col("node").alias("src"), "component", "nodes"), "src")
-    kind = ", ".join(f"{c} {t}" for c, t in edges.select("src", "dst", "score").dtypes)
-    small = e.filter(F.col("nodes") <= limit).select("src", "dst", "score")
-    large = e.filter(F.col("nodes") > limit).select("component", "src", "dst", "score")
-    return small.unionByName(large.groupBy("component").applyInPandas(_grow(limit), kind))
+    edges = cut_lineage(edges.select("src", "dst", "score"))
+    cuts = edges.approxQuantile("score", [i / bands for i in range(1, bands)], 0.01)
+    bounds = [None, *sorted(set(cuts), reverse=True), None]
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    member = cut_lineage(nodes.withColumn("c", F.col("node")))
+    kinds = dict(edges.dtypes)
+    schema = f"src {kinds['src']}, dst {kinds['dst']}, score {kinds['score']}, a {kinds['src']}, b {kinds['src']}"
+    kept = None
+    for high, low in zip(bounds, bounds[1:], strict=False):
+        band = edges if high is None else edges.filter(F.col("score") <= high)
+        band = band if low is None else band.filter(F.col("score") > low)
+        sizes = member.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+        named = member.join(sizes, "c")
+        for end, c, n in (("src", "a", "na"), ("dst", "b", "nb")):
+            band = band.join(named.select(F.col("node").alias(end), F.col("c").alias(c), F.col("n").alias(n)), end)
+        band = cut_lineage(band)
+        inner = band.filter("a = b").select("src", "dst", "score")
+        open_ = band.filter((F.col("a") != F.col("b")) & (F.col("na") + F.col("nb") <= limit))
+        groups = connected_components(open_, "a", "b").select(F.col("node").alias("a"), F.col("component").alias("g"))
+        added = cut_lineage(open_.join(groups, "a").groupBy("g").applyInPandas(_grow(limit), schema))
+        found = inner.unionByName(added.select("src", "dst", "score"))
+        kept = found if kept is None else kept.unionByName(found)
+        merged = connected_components(added, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("to"))
+        member = cut_lineage(member.join(merged, "c", "left").select("node", F.coalesce("to", "c").alias("c")))
+    return kept

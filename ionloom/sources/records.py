@@ -23,14 +23,26 @@ def guess_format(path: str) -> str | None:
     return parts[-1] if parts[-1] in FORMATS else None
 
 
-def _numbered(df: DataFrame, first: str) -> DataFrame:
+def _numbered(df: DataFrame) -> DataFrame:
     """``scan_number`` from 1 within each file, by the order of the records.
 
-    Text rows of one file keep their order within a task; tasks are ordered by their
-    offset, which is what the increasing id follows.
+    Records are numbered within each split of a file; a split's offset is the count of
+    the records in the splits before it, so no task holds more than one split.
     """
-    w = Window.partitionBy("file_name").orderBy(first)
-    return df.withColumn("scan_number", F.row_number().over(w).cast("long"))
+    split = ["file_name", "block"]
+    df = df.withColumn("__r", F.row_number().over(Window.partitionBy(*split).orderBy("at")))
+    counts = df.groupBy(*split).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*split, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    return df.join(starts, split).withColumn("scan_number", (F.col("__before") + F.col("__r")).cast("long"))
+
+
+def _text(spark: SparkSession, path: str, separator: str, encoding: str) -> DataFrame:
+    raw = spark.read.option("lineSep", separator).option("encoding", encoding).text(path)
+    return raw.select(
+        F.regexp_replace("value", "\r", "").alias("value"), F.col("_metadata.file_path").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+    )
 
 
 def _peaks(lines: Column, limit: Column | None = None) -> Column:
@@ -65,8 +77,7 @@ def read_msp(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
     Records are parted by blank lines.  Keys are lower-cased; a repeated key keeps all its
     values.  A record may have no peaks; text without a ``Num peaks`` line is no record.
     """
-    raw = spark.read.option("lineSep", "\n\n").option("encoding", encoding).text(path)
-    raw = raw.select(F.regexp_replace("value", "\r", "").alias("value"), F.col("_metadata.file_path").alias("file_name"), F.monotonically_increasing_id().alias("at"))
+    raw = _text(spark, path, "\n\n", encoding)
     raw = raw.filter(F.col("value").rlike(r"(?i)num peaks\s*:"))
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     df = raw.withColumn("lines", lines)
@@ -78,7 +89,7 @@ def read_msp(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
     df = df.withColumn("body", F.slice("lines", F.col("n") + 1, F.greatest(F.lit(1), F.size("lines"))))
     keys = F.transform("head", lambda x: F.lower(F.trim(F.substring_index(x, ":", 1))))
     values = F.transform("head", lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", "")))
-    df = _numbered(df, "at").withColumn("meta", _grouped(keys, values))
+    df = _numbered(df).withColumn("meta", _grouped(keys, values))
     m = F.col("meta")
     mode = F.lower(F.coalesce(_first(m, "ion_mode", "ionmode", "ion mode"), F.lit("")))
     charge = F.coalesce(_charge(_first(m, "charge", "precursor_charge")), F.when(mode.startswith("p"), 1).when(mode.startswith("n"), -1))
@@ -100,11 +111,10 @@ def read_mgf(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
     ``#`` lines and blank lines are skipped; ``PEPMASS`` gives the precursor (its first
     number); other ``KEY=value`` lines are metadata under lower-case keys.
     """
-    raw = spark.read.option("lineSep", "END IONS").option("encoding", encoding).text(path)
-    raw = raw.select(F.regexp_replace("value", "\r", "").alias("value"), F.col("_metadata.file_path").alias("file_name"), F.monotonically_increasing_id().alias("at"))
+    raw = _text(spark, path, "END IONS", encoding)
     raw = raw.filter(F.col("value").contains("BEGIN IONS")).withColumn("value", F.substring_index("value", "BEGIN IONS", -1))
     lines = F.filter(F.split("value", "\n"), lambda x: (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))
-    df = _numbered(raw, "at").withColumn("lines", lines).withColumn("head", F.filter("lines", lambda x: x.rlike(r"^\s*[A-Za-z][^=]*=")))
+    df = _numbered(raw).withColumn("lines", lines).withColumn("head", F.filter("lines", lambda x: x.rlike(r"^\s*[A-Za-z][^=]*=")))
     keys = F.transform("head", lambda x: F.lower(F.trim(F.substring_index(x, "=", 1))))
     values = F.transform("head", lambda x: F.trim(F.regexp_replace(x, "^[^=]*=", "")))
     df = df.withColumn("meta", _grouped(keys, values))

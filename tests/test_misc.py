@@ -52,6 +52,30 @@ def test_mutual_top_k_and_caps(spark):
     assert G.capped_components(df, 0).count() == 10
 
 
+def one_by_one(edges, limit):
+    head, kept = {}, set()
+
+    def members(x):
+        return head.setdefault(x, {x})
+
+    for a, b, s in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        x, y = members(a), members(b)
+        if x is y or len(x) + len(y) <= limit:
+            kept.add((a, b))
+            if x is not y:
+                x |= y
+                for n in y:
+                    head[n] = x
+    return kept
+
+
+def test_capped_components_equal_one_by_one(spark):
+    r = random.Random(5)
+    edges = [(a, b, round(r.random(), 2)) for a, b in {tuple(sorted(r.sample(range(60), 2))) for _ in range(150)}]
+    got = {(x.src, x.dst) for x in G.capped_components(spark.createDataFrame(edges, EDGES), 7, bands=3).collect()}
+    assert got == one_by_one(edges, 7)
+
+
 def test_offsets():
     assert B.offsets(0.01, 0.001) == list(range(-9, 10))
     assert B.offsets(0.02, 0.01, [1.0]) == [-101, -100, -99, -1, 0, 1, 99, 100, 101]
