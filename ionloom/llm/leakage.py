@@ -18,6 +18,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ EXACT = 0.5
 GAP = 40
 #: Test items per pass over the corpus; more items take more passes.
 ITEMS_PER_PASS = 50_000
+#: Bytes of text whose words are held at once; a longer text is a part of its own.
+PART_BYTES = 8 << 20
 #: Postings per block of a posting list.
 BLOCK = 64
 K1, B = 1.2, 0.75
@@ -181,12 +184,22 @@ def repeated_words(item: list[str], doc: list[str], hits: list[tuple[int, int]],
     return max(best, default=0)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most PART_BYTES of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + PART_BYTES, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _leaks(items: list[tuple[int, str, str]], retrieve: float, share: float, gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(items)
         code = index.vocabulary.get
         base = index.base
-        for batch in batches:
+        for batch in chain.from_iterable(map(_parts, batches)):
             ids = batch.column(0)
             docs = [words_of(t) if t else [] for t in batch.column(1).to_pylist()]
             sizes = np.array([len(d) for d in docs], np.int64)
