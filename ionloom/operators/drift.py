@@ -37,14 +37,22 @@ def _number(s: Column) -> Column:
     return F.when(signed != "", signed.try_cast("double"))
 
 
-def record_fields(records: DataFrame) -> DataFrame:
-    """One row per non-null top-level field of each JSON record.
+def _id_of(body: Column, id_field: str) -> Column:
+    """Text of the id field of a JSON record, whatever its letter case."""
+    entries = F.map_entries(F.from_json(body, "map<string, string>"))
+    return F.trim(F.get(F.filter(entries, lambda e: F.lower(e.key) == id_field), F.lit(0)).value)
+
+
+def record_fields(records: DataFrame, id_field: str = "spec_id") -> DataFrame:
+    """One row per non-null top-level field of each JSON record, with the record's ``id``.
 
     Names are lower-cased; ``type`` is string, whole, decimal, boolean, array or object.
     Bodies that are null, no JSON or no object have no fields.
     """
     tvf = records.sparkSession.tvf
-    flat = records.select("feed", "file_name", "exported_at", "record_no", F.try_parse_json("body").alias("doc"))
+    flat = records.select(
+        "feed", "file_name", "exported_at", "record_no", _id_of(F.col("body"), id_field).alias("id"), F.try_parse_json("body").alias("doc")
+    )
     flat = flat.filter(F.col("doc").isNotNull()).lateralJoin(tvf.variant_explode(F.col("doc").outer()))
     kind = F.schema_of_variant("value")
     whole_decimal = kind.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")  # whole numbers beyond 64 bits
@@ -57,16 +65,14 @@ def record_fields(records: DataFrame) -> DataFrame:
         .otherwise("string")
     )
     return flat.filter(F.col("key").isNotNull() & (kind != "VOID")).select(
-        "feed", "file_name", "exported_at", "record_no", F.lower("key").alias("field"), name.alias("type"),
+        "feed", "file_name", "exported_at", "record_no", "id", F.lower("key").alias("field"), name.alias("type"),
         F.trim(F.try_variant_get("value", "$", "string")).alias("text"),
     )
 
 
 def profile_fields(records: DataFrame, id_field: str = "spec_id", sketch: int = SKETCH) -> DataFrame:
     """Per file and field: the type most values have, the count, and the value sketch."""
-    rows = record_fields(records)
-    ids = rows.filter(F.col("field") == id_field).groupBy("file_name", "record_no").agg(F.max("text").alias("id"))
-    rows = rows.join(ids, ["file_name", "record_no"], "left").withColumn("h", F.xxhash64("id"))
+    rows = record_fields(records, id_field).withColumn("h", F.xxhash64("id"))
     by = ["feed", "file_name", "field"]
     types = rows.groupBy(*by, "type").agg(F.count(F.lit(1)).alias("n"))
     kinds = types.groupBy(*by).agg(F.max_by("type", F.struct("n", "type")).alias("type"), F.sum("n").alias("n"))
