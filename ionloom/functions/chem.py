@@ -167,22 +167,25 @@ def isotope_ratios(mz: float) -> np.ndarray:
     return np.array([sum(c[i] * s[k - i] for i in range(k + 1)) for k in range(1, 5)])
 
 
-def enumerate_formulas(df: DataFrame, low: str, high: str, bounds: dict[str, int]) -> DataFrame:
+def enumerate_formulas(df: DataFrame, low: str, high: str, bounds: dict[str, int | None]) -> DataFrame:
     """All formulas whose mass is within ``[low, high]``, one row each (``formula``, ``mass``).
 
-    ``bounds`` gives the atoms in turn with their greatest count.  Each atom is one
-    ``explode`` of the counts that the mass left over allows, the last atom only of
-    those that fill the window, so no partial formula outside it is built.
+    ``bounds`` gives the atoms in turn with their greatest count, None for as many as the
+    window allows.  Each atom is one ``explode`` of the counts that the mass left over
+    allows, the last atom only of those that fill the window, so no partial formula
+    outside it is built; the text is made of the counts that are left at the end.
     """
-    out = df.withColumn("formula", F.lit("")).withColumn("mass", F.lit(0.0))
+    out = df.withColumn("mass", F.lit(0.0))
     last = list(bounds)[-1]
-    for atom, most in bounds.items():
+    parts = []
+    for k, (atom, most) in enumerate(bounds.items()):
         m = ATOM_MASS[atom]
-        upto = F.least(F.lit(most), F.floor((F.col(high) - F.col("mass")) / m).cast("int"))
+        upto = F.floor((F.col(high) - F.col("mass")) / m).cast("int")
+        upto = upto if most is None else F.least(F.lit(most), upto)
         start = F.greatest(F.lit(0), F.ceil((F.col(low) - F.col("mass")) / m).cast("int")) if atom == last else F.lit(0)
-        counts = F.when(upto >= start, F.sequence(start, upto))
-        out = out.withColumn("__n", F.explode(counts))
-        out = out.withColumn("mass", F.col("mass") + F.col("__n") * m)
-        text = F.when(F.col("__n") == 0, "").when(F.col("__n") == 1, atom).otherwise(F.concat(F.lit(atom), F.col("__n").cast("string")))
-        out = out.withColumn("formula", F.concat("formula", text)).drop("__n")
-    return out.filter(F.col("mass").between(F.col(low), F.col(high)))
+        n = f"__n{k}"
+        out = out.filter(upto >= start).withColumn(n, F.explode(F.when(upto >= start, F.sequence(start, upto))))
+        out = out.withColumn("mass", F.col("mass") + F.col(n) * m)
+        parts.append(F.when(F.col(n) == 0, "").when(F.col(n) == 1, atom).otherwise(F.concat(F.lit(atom), F.col(n).cast("string"))))
+    out = out.filter(F.col("mass").between(F.col(low), F.col(high)))
+    return out.select(*df.columns, F.concat(*parts).alias("formula"), "mass")

@@ -46,10 +46,18 @@ def adduct_mz(spark, sf_dir):
 
 
 def formula_candidates(spark, sf_dir):
-    """CHO formulas within 2 mDa of the neutral mass, for the spectra whose id is a query id."""
-    df = queries_of(_with_text(spark, sf_dir)).filter((F.col("precursor_mz") > 1.1) & (F.col("precursor_mz") < 500))
-    df = df.select("spec_id", (F.col("precursor_mz") - C.PROTON_MASS - 0.002).alias("low"), (F.col("precursor_mz") - C.PROTON_MASS + 0.002).alias("high"))
-    return C.enumerate_formulas(df, "low", "high", {"C": 40, "O": 15, "H": 90}).select("spec_id", "formula", F.round("mass", 5).alias("mass"))
+    """CHO formulas within 2 mDa of the neutral mass (precursor less a proton), for every spectrum with a valid precursor.
+
+    Each distinct precursor is enumerated once, spread over all tasks: its work grows with the mass, not with its bytes.
+    """
+    one = latest_per_id(table(spark, sf_dir, "spectrum"), "spec_id", "loaded_at", ["precursor_mz"])
+    one = one.filter((F.col("precursor_mz") > 0) & (F.col("precursor_mz") < float("inf"))).select("spec_id", "precursor_mz")  # NaN is above all
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    mass = F.col("precursor_mz") - C.PROTON_MASS
+    windows = one.select("precursor_mz").distinct().repartition(tasks, "precursor_mz")
+    windows = windows.select("precursor_mz", (mass - 0.002).alias("low"), (mass + 0.002).alias("high"))
+    found = C.enumerate_formulas(windows, "low", "high", {"C": None, "O": None, "H": None})
+    return one.join(found, "precursor_mz").select("spec_id", "formula", F.round("mass", 5).alias("mass"))
 
 
 # ------------------------------------------------------------- statistics

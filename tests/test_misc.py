@@ -110,6 +110,29 @@ def test_formula_enumeration(spark):
     assert got == want and "OH2" in got
 
 
+def test_formula_candidates_of_every_spectrum(spark, tmp_path):
+    from ionloom.plans.misc import formula_candidates
+
+    # ids that are no query ids, m/z from 500 up, more than 40 C, 15 O and 90 H; precursors that are not valid
+    named = {1: (18, 6, 30), 2: (45, 2, 92), 3: (20, 18, 30), 40: (6, 6, 12), 5: (20, 18, 30)}
+    neutral = {k: 12 * c + C.ATOM_MASS["O"] * o + C.ATOM_MASS["H"] * h for k, (c, o, h) in named.items()}
+    rows = [(k, 1, round(m + C.PROTON_MASS, 4), None) for k, m in neutral.items()]
+    rows += [(91, 1, None, None), (92, 1, float("nan"), None), (93, 1, -1.0, None), (94, 1, float("inf"), None), (95, 1, 0.5, None)]
+    spark.createDataFrame(rows, "spec_id long, loaded_at int, precursor_mz double, comments string").write.parquet(str(tmp_path / "spectrum.parquet"))
+    got = {(r.spec_id, r.formula) for r in formula_candidates(spark, str(tmp_path)).collect()}
+    want, text = set(), lambda a, n: "" if not n else a + (str(n) if n > 1 else "")
+    for k, _, mz, _ in rows[: len(named)]:
+        low, high = mz - C.PROTON_MASS - 0.002, mz - C.PROTON_MASS + 0.002
+        for c in range(int(high / 12) + 1):
+            for o in range(int((high - 12 * c) / C.ATOM_MASS["O"]) + 1):
+                rest = high - 12 * c - C.ATOM_MASS["O"] * o
+                h = int(rest / C.ATOM_MASS["H"])
+                if rest - h * C.ATOM_MASS["H"] <= high - low:
+                    want.add((k, text("C", c) + text("O", o) + text("H", h)))
+    assert got == want
+    assert got >= {(k, text("C", c) + text("O", o) + text("H", h)) for k, (c, o, h) in named.items()}
+
+
 MSP = """Name: one
 Name: uno
 PrecursorMZ: 150.5
