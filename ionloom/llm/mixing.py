@@ -182,8 +182,9 @@ def mix_report(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER,
 
     Report: ``source, weight, max_repeats, docs, tokens`` (of the documents labelled with the
     source), ``expected_tokens`` (with soft members), ``target_tokens`` (weight times the
-    tokens of all labelled documents), ``rate`` (chosen over expected tokens), ``chosen_tokens``, ``actual_share``, ``short``
-    (all labelled documents taken max_repeats times stay below the target).
+    tokens of all labelled documents), ``rate`` (chosen over expected tokens), ``chosen_tokens`` and ``chosen_share`` (as the
+    rates expect), ``taken_tokens`` and ``actual_share`` (of the documents as they are repeated below, soft members by
+    membership), ``short`` (all labelled documents taken max_repeats times stay below the target).
     Sources without documents have zero everywhere; a source named twice in ``targets``
     counts once.  Documents: ``id, source, tokens, rate, repeats``; a document is taken
     floor(rate) times and once more with the probability of the rest, decided by its hash.
@@ -202,6 +203,11 @@ def mix_report(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER,
         *[F.sum(F.col("tokens") * F.col("rate") * F.get("p", F.lit(k))).alias(f"c{k}") for k in range(len(sources))],
     ).first()
     chosen = [float(sums[f"c{k}"] or 0.0) for k in range(len(sources))]
+    rest = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
+    repeats = (F.floor("rate") + (rest < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    drawn = members.join(fitted.select("cell", "rate", "p"), "cell").withColumn("repeats", repeats)
+    got = drawn.select(*[F.sum(F.col("repeats") * F.col("tokens") * F.get("p", F.lit(k))) for k in range(len(sources))]).first()
+    taken = [float(got[k] or 0.0) for k in range(len(sources))]
     rows = []
     for k, s in enumerate(sources):
         have = by_source.get(s)
@@ -209,16 +215,11 @@ def mix_report(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER,
         rows.append((
             plan[s][0], plan[s][1], plan[s][2], int(have["docs"]) if have else 0, tokens, float(sums[f"a{k}"] or 0.0), want[k],
             chosen[k] / sums[f"a{k}"] if sums[f"a{k}"] else 0.0, chosen[k], chosen[k] / sum(chosen) if sum(chosen) else 0.0,
-            plan[s][2] * tokens < want[k],
+            taken[k], taken[k] / sum(taken) if sum(taken) else 0.0, plan[s][2] * tokens < want[k],
         ))
     report = spark.createDataFrame(
         rows,
         "source string, weight double, max_repeats int, docs long, tokens long, expected_tokens double, target_tokens double, "
-        "rate double, chosen_tokens double, actual_share double, short boolean",
-    )
-    rates = fitted.select("cell", "rate")
-    rest = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
-    out = members.join(rates, "cell").select(
-        "id", "source", "tokens", "rate", (F.floor("rate") + (rest < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("repeats")
+        "rate double, chosen_tokens double, chosen_share double, taken_tokens double, actual_share double, short boolean",
     )
-    return report, out
+    return report, drawn.select("id", "source", "tokens", "rate", "repeats")

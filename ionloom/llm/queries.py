@@ -22,8 +22,11 @@ def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chosen amounts and actual shares per target source."""
-    return _mix(spark, sf_dir)[0]
+    """Chosen amounts and actual shares per target source: of the documents as p7_mixture repeats them,
+    beside the amounts and shares that the fitted rates expect."""
+    r = _mix(spark, sf_dir)[0]
+    r = r.withColumnsRenamed({"chosen_tokens": "fitted_tokens", "chosen_share": "fitted_share"})
+    return r.withColumnRenamed("taken_tokens", "chosen_tokens")
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

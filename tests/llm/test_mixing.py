@@ -60,6 +60,33 @@ def test_report_meets_targets_or_caps(spark):
         assert abs(r.t - got[r.s].chosen_tokens) < 0.35 * got[r.s].target_tokens
 
 
+def test_report_sums_the_documents_taken(spark, tmp_path):
+    from ionloom.llm import queries as Q
+
+    rows = corpus(20) + [("web", "click here subscribe now " * 400), (None, "court appeal ruling judge " * 30), (None, "harbour click vessel here " * 30)]
+    plan = [("law", 0.5, 1), ("web", 0.2, 4), ("sea", 0.3, 2)]  # one document holds most of web, at a rate below 1
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    targets(spark, plan).write.parquet(str(tmp_path / "mix_target.parquet"))
+    report = {r.source: r for r in Q.p7_report(spark, str(tmp_path)).collect()}
+    taken = Q.p7_mixture(spark, str(tmp_path)).collect()
+    everything = sum(r.repeats * r.tokens for r in taken)
+    soft = sum(r.repeats * r.tokens for r in taken if r.source is None)
+    assert abs(sum(r.chosen_tokens for r in report.values()) - everything) < 1e-6 * everything
+    for s, r in report.items():
+        labelled = sum(x.repeats * x.tokens for x in taken if x.source == s)
+        assert labelled - 1e-6 <= r.chosen_tokens <= labelled + soft + 1e-6
+        assert abs(r.actual_share - r.chosen_tokens / everything) < 1e-9
+    assert abs(report["web"].chosen_tokens - report["web"].fitted_tokens) > 0.1 * report["web"].target_tokens
+
+
+def test_short_counts_labelled_tokens_though_soft_documents_meet_the_target(spark):
+    rows = [(s, t) for s, t in corpus(40) if s != "sea"]
+    rows = [r for k, r in enumerate(rows) if r[0] != "law" or k < 20] + [(None, t) for s, t in corpus(60) if s == "law"]
+    report = {r.source: r for r in M.mix_report(docs(spark, rows), targets(spark, [("law", 0.6, 1), ("web", 0.4, 2)]))[0].collect()}
+    assert report["law"].tokens < report["law"].target_tokens and report["law"].short
+    assert report["law"].chosen_tokens > 0.98 * report["law"].target_tokens and report["law"].rate < 0.9
+
+
 def test_unlabelled_documents_get_posteriors(spark):
     rows = corpus()
     hidden = [(None if i % 3 == 0 else s, t) for i, (s, t) in enumerate(rows)]
