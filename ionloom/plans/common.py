@@ -13,9 +13,18 @@ from ..session import table
 QUERY_STEP = 20
 
 
+def all_spectra(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """The last delivery of every spectrum, whatever its charge and precursor m/z."""
+    df = table(spark, sf_dir, "spectrum")
+    if "metadata" in extra:  # maps have no order, their entries have
+        df = df.withColumn("metadata", F.map_entries("metadata"))
+    one = latest_per_id(df, "spec_id", "loaded_at", ["charge", "precursor_mz", "peaks", *extra])
+    return one.withColumn("metadata", F.map_from_entries("metadata")) if "metadata" in extra else one
+
+
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per spectrum with a charge and a positive precursor m/z."""
-    one = latest_per_id(table(spark, sf_dir, "spectrum"), "spec_id", "loaded_at", ["charge", "precursor_mz", "peaks"])
+    one = all_spectra(spark, sf_dir)
     return one.filter(F.col("charge").isNotNull() & ~F.isnan("precursor_mz") & (F.col("precursor_mz") > 0))
 
 

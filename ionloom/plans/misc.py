@@ -13,7 +13,7 @@ from ..operators import clean
 from ..operators import stats as T
 from ..operators.hotkeys import latest_per_id
 from ..session import ensure_checkpoint_dir, table
-from .common import cleaned, queries_of, spectra
+from .common import all_spectra, cleaned, queries_of, spectra
 
 _INCHI = r"InChI\s*=\s*\"?1S/([A-Za-z0-9]+)/"
 _ADDUCT = r"adduct\s*=\s*\"?(\[[^\]]*\][0-9]*[+-])"
@@ -175,15 +175,53 @@ def _round_trip(spark, sf_dir, kind: str) -> DataFrame:
 
 
 def msp_roundtrip(spark, sf_dir):
-    """All spectra written as MSP text and read back."""
+    """The searchable spectra with made-up metadata written as MSP text and read back."""
     return _round_trip(spark, sf_dir, "msp")
 
 
 def mgf_roundtrip(spark, sf_dir):
-    """All spectra written as MGF text and read back."""
+    """The searchable spectra with made-up metadata written as MGF text and read back."""
     return _round_trip(spark, sf_dir, "mgf")
 
 
+def _round_trip_all(spark, sf_dir, kind: str) -> DataFrame:
+    """Every spectrum with its own fields; ``same`` tells whether all of them, peaks and metadata came back as written."""
+    from ..sources import records
+
+    fields = ["precursor_mz", "charge", "rt", "ms_level"]
+    none, bare = F.create_map().cast("map<string,array<string>>"), F.array().cast(clean.PEAKS)
+    df = all_spectra(spark, sf_dir, "rt", "ms_level", "metadata")
+    df = df.withColumn("metadata", F.coalesce("metadata", none)).withColumn("peaks", F.coalesce("peaks", bare))
+    path = _folder(spark, kind)
+    own_id = F.create_map(F.lit("spec_id"), F.array(F.col("spec_id").cast("string")))
+    records.write_spectra(df.withColumn("metadata", F.map_concat("metadata", own_id)), path, kind)
+    back = records.read_spectra(spark, path, kind)
+    back = back.withColumn("spec_id", F.try_element_at(F.try_element_at("metadata", F.lit("spec_id")), F.lit(1)).cast("long"))
+    core = ("spec_id", *records._CORE)  # the lines of the fields come back as metadata as well
+    back = back.withColumn("metadata", F.map_filter("metadata", lambda k, _: ~k.isin(*core)))
+    shown = lambda d: [*fields, "peaks", F.sort_array(F.map_entries(d["metadata"])).alias("meta")]
+    was = df.select("spec_id", F.struct(*shown(df)).alias("was"))
+    now = back.select("spec_id", F.lit(True).alias("read"), F.struct(*shown(back)).alias("now"))
+    same = F.lit(True)
+    for c in (*fields, "peaks", "meta"):
+        same = same & F.col(f"was.{c}").eqNullSafe(F.col(f"now.{c}"))
+    return was.join(now, "spec_id", "full").select(
+        "spec_id", *[f"now.{c}" for c in fields], F.size("now.peaks").cast("long").alias("n_peaks"),
+        F.round(S.total_intensity(F.col("now.peaks")), 4).alias("total"), F.col("now.meta").alias("metadata"),
+        (F.coalesce("read", F.lit(False)) & same).alias("same"),
+    )
+
+
+def msp_roundtrip_all(spark, sf_dir):
+    """All spectra with their own metadata written as MSP text, read back and compared."""
+    return _round_trip_all(spark, sf_dir, "msp")
+
+
+def mgf_roundtrip_all(spark, sf_dir):
+    """All spectra with their own metadata written as MGF text, read back and compared."""
+    return _round_trip_all(spark, sf_dir, "mgf")
+
+
 def index_roundtrip(spark, sf_dir):
     """The peak index written by charge and read back for the positive charges."""
     from ..operators import index
@@ -238,8 +276,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         formula_mass, adduct_mz, formula_candidates, unpivot_stats, percentiles, max_errors, timing_histogram, repository_times, ion_mode_counts,
-        z_logistic, hit_scores_union, column_standardize, embedding_distances, msp_roundtrip, mgf_roundtrip, index_roundtrip,
-        stream_static_search, stream_scan_counts,
+        z_logistic, hit_scores_union, column_standardize, embedding_distances, msp_roundtrip, mgf_roundtrip,
+        msp_roundtrip_all, mgf_roundtrip_all, index_roundtrip, stream_static_search, stream_scan_counts,
     )
 }
 

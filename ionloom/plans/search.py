@@ -12,7 +12,7 @@ from ..operators import search as X
 from ..operators.bandjoin import band_join
 from ..operators.weights import COSINE, UNWEIGHTED_ENTROPY, peak_table
 from ..session import cut_lineage, table
-from .common import COSINE_SQL, ENTROPY_SQL, MATCH, PREP, cleaned, queries_of, search_sql, spectra
+from .common import COSINE_SQL, ENTROPY_SQL, MATCH, PREP, all_spectra, cleaned, queries_of, search_sql, spectra
 
 
 def _rounded(hits: DataFrame) -> DataFrame:
@@ -115,12 +115,12 @@ def nearest_feature(spark, sf_dir):
 # ------------------------------------------------------------- peak tables
 
 
-def spectrum_stats(spark, sf_dir):
-    """Counts, sum, maximum and weighted mean of the raw peaks of every spectrum."""
+def _peak_stats(df: DataFrame) -> DataFrame:
+    """Counts, sum, maximum and weighted mean of the raw peaks."""
     p = F.coalesce("peaks", F.array().cast(clean.PEAKS))
     total = S.total_intensity(p)
     mean = F.aggregate(p, F.lit(0.0), lambda a, x: a + x.mz * x.intensity)
-    return spectra(spark, sf_dir).select(
+    return df.select(
         "spec_id",
         F.size(p).cast("long").alias("n_peaks"),
         F.round(total, 4).alias("total"),
@@ -129,6 +129,16 @@ def spectrum_stats(spark, sf_dir):
     )
 
 
+def spectrum_stats(spark, sf_dir):
+    """Peak statistics of the searchable spectra, those with charge and precursor."""
+    return _peak_stats(spectra(spark, sf_dir))
+
+
+def spectrum_stats_all(spark, sf_dir):
+    """Peak statistics of every spectrum."""
+    return _peak_stats(all_spectra(spark, sf_dir))
+
+
 def spectral_entropy(spark, sf_dir):
     p = F.col("peaks")
     return cleaned(spark, sf_dir).select(
@@ -144,21 +154,41 @@ def unweighted_halves(spark, sf_dir):
     return peak_table(cleaned(spark, sf_dir), UNWEIGHTED_ENTROPY).select("spec_id", "peak_id", F.round(F.col("w") + 1e-9, 6).alias("half"))
 
 
-def clean_filters(spark, sf_dir):
+def _fixed_bounds(df: DataFrame) -> DataFrame:
     """Exclusive m/z bounds, no isotope step, no merging beyond equal m/z."""
     df = clean.clean_spectra(
-        spectra(spark, sf_dir), min_mz=100.0, max_mz=600.0, noise=0.05, tol_da=1e-9, mode="gap", remove_isotope=False, inclusive=False
+        df, min_mz=100.0, max_mz=600.0, noise=0.05, tol_da=1e-9, mode="gap", remove_isotope=False, inclusive=False
     )
     rows = df.select("spec_id", F.explode("peaks").alias("p"))
     return rows.select("spec_id", F.round("p.mz", 6).alias("mz"), F.round("p.intensity", 6).alias("intensity"))
 
 
-def noise_filter(spark, sf_dir):
+def clean_filters(spark, sf_dir):
+    """Fixed-bound cleaning of the searchable spectra, those with charge and precursor."""
+    return _fixed_bounds(spectra(spark, sf_dir))
+
+
+def clean_filters_all(spark, sf_dir):
+    """Fixed-bound cleaning of every spectrum."""
+    return _fixed_bounds(all_spectra(spark, sf_dir))
+
+
+def _denoised(df: DataFrame) -> DataFrame:
     p = S.denoise(S.drop_zero(F.col("peaks")), 0.1)
-    rows = spectra(spark, sf_dir).select("spec_id", F.explode(p).alias("p"))
+    rows = df.select("spec_id", F.explode(p).alias("p"))
     return rows.select("spec_id", "p.mz", "p.intensity").distinct()
 
 
+def noise_filter(spark, sf_dir):
+    """Noise filter on the searchable spectra, those with charge and precursor."""
+    return _denoised(spectra(spark, sf_dir))
+
+
+def noise_filter_all(spark, sf_dir):
+    """Noise filter on every spectrum."""
+    return _denoised(all_spectra(spark, sf_dir))
+
+
 def top_n_peaks(spark, sf_dir):
     rows = cleaned(spark, sf_dir).select("spec_id", F.explode(S.strongest(F.col("peaks"), 5)).alias("p"))
     return rows.select("spec_id", F.round("p.mz", 6).alias("mz"), F.round("p.intensity", 6).alias("intensity"))
@@ -174,14 +204,14 @@ def centroid_isolated(spark, sf_dir):
 
 
 def centroid_full(spark, sf_dir):
-    """Greedy centroiding (no SQL form; tested against a plain version)."""
-    df = clean.clean_spectra(spectra(spark, sf_dir), noise=0.0, remove_isotope=False, normalize=False)
+    """Greedy centroiding of every spectrum (no SQL form; tested against a plain version)."""
+    df = clean.clean_spectra(all_spectra(spark, sf_dir), noise=0.0, remove_isotope=False, normalize=False)
     return df.select("spec_id", F.posexplode("peaks").alias("peak_no", "p")).select("spec_id", "peak_no", "p.mz", "p.intensity")
 
 
 def isotope_removal(spark, sf_dir):
-    """The whole cleaning chain with isotope removal (no SQL form)."""
-    df = clean.clean_spectra(spectra(spark, sf_dir))
+    """The whole cleaning chain with isotope removal on every spectrum (no SQL form)."""
+    df = clean.clean_spectra(all_spectra(spark, sf_dir))
     return df.select("spec_id", F.posexplode("peaks").alias("peak_no", "p")).select("spec_id", "peak_no", "p.mz", "p.intensity")
 
 
@@ -235,8 +265,8 @@ QUERIES = {
     for f in (
         open_search, open_search_topk, identity_search, neutral_loss_search, hybrid_search, cosine_search, cosine_identity_search,
         cosine_neutral_loss_search, cosine_hybrid_search, mask_search, range_search, precursor_bin_probe, dense_result, metadata_join,
-        ppm_filter, self_join_excluded, nearest_feature, spectrum_stats, spectral_entropy, entropy_weighting, unweighted_halves, clean_filters,
-        noise_filter, top_n_peaks, centroid_isolated, centroid_full, isotope_removal, neutral_loss_transform, validation_codes,
+        ppm_filter, self_join_excluded, nearest_feature, spectrum_stats, spectrum_stats_all, spectral_entropy, entropy_weighting, unweighted_halves, clean_filters,
+        clean_filters_all, noise_filter, noise_filter_all, top_n_peaks, centroid_isolated, centroid_full, isotope_removal, neutral_loss_transform, validation_codes,
         charge_routing, blank_spectra, shared_spectra, entropy_by_library, dedup_ions,
     )
 }

@@ -123,7 +123,7 @@ def read_mgf(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
         "file_name",
         "scan_number",
         F.coalesce(_first(m, "mslevel", "ms_level").try_cast("int"), F.lit(2)).alias("ms_level"),
-        F.regexp_extract(_first(m, "pepmass"), rf"({_NUM})", 1).try_cast("double").alias("precursor_mz"),
+        F.regexp_extract(_first(m, "pepmass"), rf"(^NaN\b|{_NUM})", 1).try_cast("double").alias("precursor_mz"),
         _charge(_first(m, "charge")).alias("charge"),
         _first(m, "rtinseconds").try_cast("double").alias("rt"),
         _peaks(F.filter("lines", lambda x: ~x.rlike(r"^\s*[A-Za-z][^=]*="))).alias("peaks"),

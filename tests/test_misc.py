@@ -188,6 +188,28 @@ def test_msp_and_mgf(spark, tmp_path):
     assert {r.scan_number: r.comments_map for r in c.collect()}[1] == {"smiles": ["C"], "author": ["x=y"]}
 
 
+def test_every_spectrum_is_written_cleaned_and_counted(spark, tmp_path):
+    from ionloom.plans import misc, search
+
+    peaks = [(150.25, 10.0), (150.26, 2.0), (300.5, 0.0), (420.125, 7.5)]
+    rows = [
+        (1, 1, 2, None, 1, 12.5, peaks, {"name": ["a=b"], "synonym": ["x", "y: z", "x"]}), (2, 1, 3, 500.25, None, None, peaks, {"instrument": ["Q 7"]}),
+        (3, 1, 2, float("nan"), -2, 3.0, peaks, {}), (4, 1, 2, -1.0, 0, None, peaks, {"name": ["n"]}), (5, 1, 2, 600.5, 1, 1.0, [], {"name": ["e"]}),
+        (6, 1, 2, 1.0, 1, 1.0, [], {}), (6, 2, 3, 700.0, 2, 8.0, peaks, {"synonym": ["late", "later"]}), (7, 1, 2, None, None, None, None, None),
+    ]
+    schema = "spec_id long, loaded_at int, ms_level int, precursor_mz double, charge int, rt double, peaks array<struct<mz double, intensity double>>, metadata map<string, array<string>>"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "spectrum.parquet"))
+    at = str(tmp_path)
+    for q in (misc.msp_roundtrip_all, misc.mgf_roundtrip_all):
+        got = {r.spec_id: r for r in q(spark, at).collect()}
+        assert set(got) == set(range(1, 8)) and all(r.same for r in got.values())
+        assert (got[6].ms_level, got[6].precursor_mz, got[6].rt) == (3, 700.0, 8.0) and got[1].metadata[1].value == ["x", "y: z", "x"]
+        assert got[1].precursor_mz is None and got[2].charge is None and got[2].rt is None and got[4].charge == 0
+    assert {r.spec_id: r.n_peaks for r in search.spectrum_stats_all(spark, at).collect()} == {1: 4, 2: 4, 3: 4, 4: 4, 5: 0, 6: 4, 7: 0}
+    for q in (search.centroid_full, search.isotope_removal, search.clean_filters_all, search.noise_filter_all):
+        assert {r.spec_id for r in q(spark, at).select("spec_id").collect()} == {1, 2, 3, 4, 6}
+
+
 def test_format_by_name():
     assert [records.guess_format(x) for x in ("a.msp", "b.MGF", "c.mzML.gz", "x.msp.bz2", "y.zip", "z.raw")] == ["msp", "mgf", "mzml", "msp", None, None]
 
