@@ -37,7 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; that folder is
     always used.  Only where the setting is absent (tests, one machine) is a
-    temporary folder taken.
+    temporary folder taken, and only by a local session: the executors of a cluster
+    could not read each other's files there.
     """
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -45,9 +46,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(shared)
     elif sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ionloom-", dir=os.environ.get("TMPDIR", "/tmp")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    For Python work that costs far more than moving its input: a table of one small file
+    would run in one task.  Tables with enough splits are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there.
 
