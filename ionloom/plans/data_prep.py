@@ -1,19 +1,13 @@
-"""Queries of the general data-preparation operators (problems 1 to 5)."""
+"""Queries of the general data-preparation operators (problems 1 to 4)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import badrows, drift, hotkeys, packed, quantiles
+from ..operators import badrows, drift, hotkeys, packed
 from ..session import table
 
-RUN_KEYS = ["datasource", "ion_mode", "library_number", "measure", "run_id"]
-GROUP_KEYS = RUN_KEYS[:-1]
-#: A run is slow when its percentile is this many times the median of its group.
-SLOW = 2.5
-
-
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hotkeys.hot_pairs(table(spark, sf_dir, "spectrum")).select("charge", "mz_bin")
 
@@ -48,42 +42,9 @@ def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return badrows.load_rows(table(spark, sf_dir, "raw_row"))
 
 
-def timings(runs: DataFrame) -> DataFrame:
-    """One row per (run, query, measure); repeated deliveries count once (the last)."""
-    cols = ["datasource", "ion_mode", "library_number", "fast_entropy_search", "blink"]
-    pick = F.max(F.struct("loaded_at", *cols)).alias("m")
-    one = runs.groupBy("run_id", "id").agg(pick).select("run_id", "m.*").filter(F.col("library_number").isNotNull())
-    return one.unpivot(GROUP_KEYS[:-1] + ["run_id"], ["fast_entropy_search", "blink"], "measure", "seconds")
-
-
-def p5_run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of every (run, measure): the tree nodes and their counts."""
-    return quantiles.build_digest(timings(table(spark, sf_dir, "benchmark_result")), RUN_KEYS, "seconds")
-
-
-def p5_group_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per group, from the merged digests of its runs."""
-    runs = p5_run_digests(spark, sf_dir)
-    return quantiles.quantiles(quantiles.merge_digests([runs], GROUP_KEYS), GROUP_KEYS, [25, 50, 75, 90, 99])
-
-
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs whose 50th or 90th percentile is at least 2.5 times their group's median.
-
-    Runs have digests; a group's digest is the merged digests of its runs.
-    """
-    runs = p5_run_digests(spark, sf_dir)
-    group = quantiles.quantiles(quantiles.merge_digests([runs], GROUP_KEYS), GROUP_KEYS, [50])
-    run = quantiles.quantiles(runs, RUN_KEYS, [50, 90])
-    mid = group.select(*GROUP_KEYS, F.col("value").alias("mid"))
-    cond = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in GROUP_KEYS]
-    hit = run.alias("r").join(mid.alias("g"), cond).filter(F.col("value") >= SLOW * F.col("mid"))
-    return hit.select("run_id", "r.measure", "pct")
-
-
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pair_stats, p2_found, p2_unified, p3_found, p4_found, p4_loaded, p5_found, p5_group_percentiles)
+    for f in (p1_found, p1_pair_stats, p2_found, p2_unified, p3_found, p4_found, p4_loaded)
 }
 
 _PAIRS = """
@@ -150,14 +111,4 @@ HAVING COUNT(*) * 1000 >= 15 * (SELECT COUNT(DISTINCT spec_id) FROM spectrum)"""
     "p1_pair_stats": f"""
 SELECT charge, mz_bin, COUNT(*) AS n_rows, ROUND(SUM(precursor_mz), 4) AS sum_mz, MIN(precursor_mz) AS min_mz, MAX(precursor_mz) AS max_mz
 FROM ({_PAIRS}) GROUP BY charge, mz_bin""",
-    "p5_found": """
-WITH one AS (SELECT DISTINCT run_id, id, datasource, ion_mode, library_number, fast_entropy_search, blink FROM benchmark_result WHERE library_number IS NOT NULL),
-t AS (SELECT datasource, ion_mode, library_number, run_id, 'fast_entropy_search' AS measure, fast_entropy_search AS s FROM one
-      UNION ALL SELECT datasource, ion_mode, library_number, run_id, 'blink', blink FROM one),
-ok AS (SELECT * FROM t WHERE s IS NOT NULL AND NOT isnan(s) AND s >= 0),
-g AS (SELECT datasource, ion_mode, library_number, measure, quantile_disc(s, 5e-1) AS mid FROM ok GROUP BY ALL),
-r AS (SELECT datasource, ion_mode, library_number, measure, run_id, 50 AS pct, quantile_disc(s, 5e-1) AS v FROM ok GROUP BY ALL
-      UNION ALL SELECT datasource, ion_mode, library_number, measure, run_id, 90, quantile_disc(s, 9e-1) FROM ok GROUP BY ALL)
-SELECT r.run_id, r.measure, r.pct FROM r JOIN g ON r.datasource = g.datasource AND r.ion_mode = g.ion_mode
-  AND r.library_number = g.library_number AND r.measure = g.measure WHERE r.v >= 25e-1 * g.mid""",
 }
