@@ -25,7 +25,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.unify(table(spark, sf_dir, "export_record"), core=["spec_id"])
+    """Spectra of all feeds under one set of names and types; ``pepmass`` is the precursor as the file has it."""
+    core = {"spec_id": ("spec_id", "long"), "precursor_mz": ("precursor_mz", "double"), "pepmass": ("precursor_mz", "string"), "charge": ("charge", "int"), "rt": ("rt", "double")}
+    return drift.unify(table(spark, sf_dir, "export_record"), core)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +90,7 @@ v AS (SELECT file_name, record_no, id, LOWER(key) AS field, json_extract(body, '
 t AS (SELECT *, CASE json_type(j) WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'decimal' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'whole' END AS kind,
   LOWER(TRIM(CASE json_type(j) WHEN 'ARRAY' THEN json_extract_string(j, '$[0]') ELSE json_extract_string(j, '$') END)) AS s FROM v WHERE json_type(j) <> 'NULL'),
 u AS (SELECT *, CASE WHEN regexp_full_match(s, '[0-9.]+[+-]') THEN right(s, 1) || left(s, LENGTH(s) - 1) WHEN regexp_full_match(s, '{_NUM}([ ,;]+{_NUM})*') THEN regexp_extract(s, '^{_NUM}') END AS num FROM t),
-c AS (SELECT file_name, id, field, kind, COALESCE(CAST(TRY_CAST(num AS DOUBLE) AS VARCHAR), s) AS x FROM u),
+c AS (SELECT file_name, id, field, kind, COALESCE(CAST(TRY_CAST(num AS DOUBLE) AS VARCHAR), CASE s WHEN 'yes' THEN 'true' WHEN 'no' THEN 'false' ELSE s END) AS x FROM u),
 p AS (SELECT file_name, field, MAX(kind) AS kind FROM c GROUP BY file_name, field),
 a AS (SELECT o.file_name, o.prev, p.field, p.kind FROM o JOIN p ON p.file_name = o.prev),
 b AS (SELECT o.file_name, o.prev, p.field, p.kind FROM o JOIN p ON p.file_name = o.file_name WHERE o.prev IS NOT NULL),

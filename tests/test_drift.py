@@ -85,3 +85,54 @@ def test_assignment_is_optimal():
         best = min(sum(small[i, p[i]] for i in range(len(small))) for p in itertools.permutations(range(big), len(small)))
         assert abs(got - best) < 1e-9
     assert D.assign(np.zeros((0, 3))) == []
+
+
+def test_names_of_one_feed_hide_no_value_of_another(spark):
+    a = [{"spec_id": s["id"], "a": s["mz"]} for s in map(spec, range(12))]
+    b = [{"spec_id": s["id"], "b": s["mz"]} for s in map(spec, range(6, 18))]
+    both = [{"spec_id": s["id"], "a": 5, "b": 9} for s in map(spec, range(4))]
+    got = D.unify(table(spark, [("x", "x1", 1, a), ("x", "x2", 2, b), ("y", "y1", 1, both)])).collect()
+    assert {tuple(sorted(r.fields)) for r in got if r.feed == "x"} == {("a", "spec_id")}
+    assert {(r.fields["a"], r.fields["b"]) for r in got if r.feed == "y"} == {("5", "9")}
+
+
+def test_a_name_used_again_for_another_quantity(spark):
+    # a becomes b; later a column a comes anew beside b
+    one = [{"spec_id": s["id"], "a": s["mz"]} for s in map(spec, range(12))]
+    two = [{"spec_id": s["id"], "b": s["mz"]} for s in map(spec, range(6, 18))]
+    three = [{"spec_id": s["id"], "b": s["mz"], "a": s["rt"]} for s in map(spec, range(10, 20))]
+    got = D.unify(table(spark, [("x", "1", 1, one), ("x", "2", 2, two), ("x", "3", 3, three)])).collect()
+    third = [r for r in got if r.file_name == "3"]
+    assert len(third) == 10
+    assert all({r.fields[k] for k in r.fields if k != "spec_id"} == {str(spec(int(r.fields["spec_id"]))["mz"]), str(spec(int(r.fields["spec_id"]))["rt"])} for r in third)
+
+
+def test_typed_columns(spark):
+    a = [{"spec_id": s["id"], "PepMass": s["mz"], "charge": f"{abs(s['z'])}{'+' if s['z'] > 0 else '-'}"} for s in map(spec, range(12))]
+    b = [{"Spec_ID": str(s["id"]), "precursor_mz": [s["mz"], 12.5], "charge": float(s["z"])} for s in map(spec, range(6, 18))]
+    c = [{"spec_id": s["id"], "precursor_mz": "none"} for s in map(spec, range(16, 19))]
+    core = {"spec_id": ("spec_id", "long"), "mz": ("precursor_mz", "double"), "pepmass": ("precursor_mz", "string"), "charge": ("charge", "int")}
+    got = D.unify(table(spark, [("f", "a", 1, a), ("f", "b", 2, b), ("f", "c", 3, c)]), core).collect()
+    assert len(got) == 27
+    for r in got:
+        s = spec(r.spec_id)
+        assert r.mz == (None if r.file_name == "c" else s["mz"]) and r.charge == (None if r.file_name == "c" else s["z"])
+        assert r.pepmass == {"a": str(s["mz"]), "b": f"[{s['mz']},12.5]", "c": "none"}[r.file_name]
+
+
+def test_truth_values_in_other_words(spark):
+    a = [{"spec_id": i, "checked": i % 3 == 0, "other": i % 2 == 0} for i in range(12)]
+    b = [{"spec_id": i, "is_reference": "yes" if i % 3 == 0 else "No", "z": "yes"} for i in range(12)]
+    assert ("b", "renamed", "checked", "is_reference") in changes(spark, [("f", "a", 1, a), ("f", "b", 2, b)])
+
+
+def test_profiles_in_pieces_unite(spark):
+    many = [{"spec_id": i, "x": i * 1.5, "t": f"text {i}"} for i in range(400)]
+    moved = [{"spec_id": i, "y": i * 1.5, "u": f"TEXT {i}"} for i in range(200, 600)]
+    df = table(spark, [("f", "a", 1, many), ("f", "b", 2, moved)]).repartition(6)
+    want = {("b", "renamed", "x", "y"), ("b", "renamed", "t", "u")}
+    for sketch, held in ((1024, 400_000), (64, 100)):
+        prof = D.cut_lineage(D.profile_fields(df, sketch=sketch, held=held))
+        got = D._changes(prof, D.file_order(prof), D._kinds(prof), sketch)
+        assert {tuple(r)[1:] for r in got.collect()} == want
+        assert prof.agg({"h": "count"}).first()[0] > 8
