@@ -1,42 +1,50 @@
 """Loading delimited lines under an explicit schema, with the bad lines set apart.
 
 Every line is read permissively with Spark's CSV parser under the schema of its
-file (column order and delimiter come from the file's header), keeping the raw text.
-Lines are then classified by quoting, column count and casts; the first reason that
+file (column order and delimiter come from the file's header), keeping the raw text of
+lines that do not fit.  Only those, and lines with a quote character, are looked at again for quoting
+and column count; casts are checked on all.  The first reason that
 applies is reported.  All of it is JVM-side column expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The columns that the lines of a spectrum table hold.
 COLUMNS = ("spec_id", "scan_number", "ms_level", "precursor_mz", "charge", "rt", "num_peaks", "peaks", "title")
 DELIMITERS = (",", ";", "\t")
 #: A plain decimal number: sign, decimal point and exponent allowed.
 NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
+#: Bytes of header lines up to which the table of files is broadcast.
+HEADER_BYTES = 8 << 20
 
 
 def _lines(raw: DataFrame) -> DataFrame:
     """Lines with their file's delimiter and column order.
 
-    The header table has one row per file; the join is left to Spark, which
-    broadcasts it only when its measured size allows.
+    The header table has one row per file.  Its size is measured: a small one is broadcast, so
+    that no line is shuffled; a larger one is joined by shuffling, where adaptive execution
+    splits files that hold many lines.
     """
-    names = F.split(F.lower(F.regexp_replace("line_text", r'["﻿ ]', "")), "[,;\t]")
+    names = F.split(F.lower(F.regexp_replace("line_text", r'["\ufeff ]', "")), "[,;\t]")
     counts = [F.regexp_count("line_text", F.lit(d)).alias(str(i)) for i, d in enumerate(DELIMITERS)]
     best = F.greatest(*[F.struct(c.alias("n"), F.lit(-i).alias("i")) for i, c in enumerate(counts)])
+    first = raw.filter(F.col("line_no") == 1)
     heads = (
-        raw.filter(F.col("line_no") == 1)
-        .groupBy("file_name")
+        first.groupBy("file_name")
         .agg(F.max("line_text").alias("line_text"))
         .select("file_name", names.alias("header"), (-best["i"]).alias("sep"))
     )
+    size = first.agg(F.sum(F.length("line_text") + F.length("file_name") + 64)).first()[0] or 0
     body = raw.filter(
         (F.col("line_no") != 1) & (F.length("line_text") > 0) & ~F.startswith(F.col("line_text"), F.lit("#"))
     ).select("file_name", "line_no", "line_text")
-    return body.join(heads, "file_name", "left").withColumn("sep", F.coalesce("sep", F.lit(0)))
+    return body.join(F.broadcast(heads) if size <= HEADER_BYTES else heads, "file_name", "left").withColumn("sep", F.coalesce("sep", F.lit(0)))
 
 
 def _by_sep(make) -> Column:
@@ -46,16 +54,20 @@ def _by_sep(make) -> Column:
     return out
 
 
-def _permissive(d: str) -> Column:
-    """The CSV parser's view of a line: n+1 text fields, so that surplus ones show."""
-    schema = ", ".join(f"c{i} string" for i in range(len(COLUMNS))) + ", corrupt string"
-    return F.from_csv(
-        "line_text",
-        schema,
-        {"sep": d, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"',
-         "maxCharsPerColumn": "-1", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-         "nullValue": "\u0000", "emptyValue": ""},
-    )
+def _permissive(n: int):
+    """The CSV parser's view of a line: n text fields, and the raw text of a line of another count."""
+    schema = ", ".join(f"c{i} string" for i in range(n)) + ", corrupt string"
+
+    def parse(d: str) -> Column:
+        return F.from_csv(
+            "line_text",
+            schema,
+            {"sep": d, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"',
+             "maxCharsPerColumn": "-1", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+             "nullValue": "\u0000", "emptyValue": ""},
+        )
+
+    return parse
 
 
 def _well_quoted(d: str) -> Column:
@@ -82,29 +94,33 @@ def peaks_of(text: Column) -> Column:
     return F.when(good & (F.size(cast) > 0), F.transform(cast, lambda p: F.struct(p.mz.alias("mz"), p.intensity.alias("intensity"))))
 
 
-def classify_lines(raw: DataFrame) -> DataFrame:
+def classify_lines(raw: DataFrame, columns: Sequence[str] = COLUMNS) -> DataFrame:
     """Every non-header line with its fields, its raw text and the ``reason`` it is bad.
 
-    ``reason`` is null for a valid line, otherwise the first that applies of
+    ``columns`` is the schema: the names in the standard order, with ``precursor_mz``, ``num_peaks`` and
+    ``peaks`` among them.  ``reason`` is null for a valid line, otherwise the first that applies of
     ``quotes``, ``columns``, ``precursor_mz`` and ``peaks``.  Null and empty lines and
-    lines that start with ``#`` are no records.  A file without a header row is read as
-    comma separated in the standard order.  Extra columns of ``raw`` are ignored;
+    lines that start with ``#`` are no records.  A file without a header row, or whose header does not name ``columns``, is read as
+    comma separated (or by the header's delimiter) in the standard order.  Extra columns of ``raw`` are ignored;
     repeated lines are kept, each with its own verdict.
     """
-    n = len(COLUMNS)
+    n = len(columns)
     df = _lines(raw)
-    df = df.withColumn("__q", _by_sep(_well_quoted)).withColumn("__n", _by_sep(_separators) + 1)
     # explode keeps the optimizer from copying the parser into every use of its result
-    df = df.withColumn("__f", F.explode(F.array(_by_sep(_permissive))))
+    df = df.withColumn("__f", F.explode(F.array(_by_sep(_permissive(n)))))
+    # the parser mends some bad quoting without a word, so lines with a quote are looked at as well
+    doubtful = F.col("__f.corrupt").isNotNull() | F.contains("line_text", F.lit('"'))
+    df = df.withColumn("__q", F.when(doubtful, _by_sep(_well_quoted)).otherwise(True))
+    df = df.withColumn("__n", F.when(doubtful, _by_sep(_separators) + 1).otherwise(n))
     values = F.array(*[F.col(f"__f.c{i}") for i in range(n)])
-    order = F.when(F.size("header") == n, F.col("header")).otherwise(F.array(*[F.lit(c) for c in COLUMNS]))
-    fields = F.map_from_arrays(F.array_distinct(order), values)
-    df = df.withColumn("__o", order)
-    df = df.withColumn("__m", F.explode(F.array(F.when(F.size(F.array_distinct("__o")) == n, fields))))
+    standard = F.array(*[F.lit(c) for c in columns])
+    fits = (F.size("header") == n) & (F.size(F.array_intersect(F.col("header"), standard)) == n)
+    order = F.when(F.coalesce(fits, F.lit(False)), F.col("header")).otherwise(standard)
+    df = df.withColumn("__m", F.explode(F.array(F.map_from_arrays(order, values))))
     get = lambda c: F.coalesce(F.try_element_at("__m", F.lit(c)), F.lit(""))
     mz = F.trim(get("precursor_mz"))
     parsed = F.struct(
-        *[get(c).alias(c) for c in COLUMNS],
+        *[get(c).alias(c) for c in columns],
         F.when(mz.rlike(f"^{NUMBER}$"), mz.try_cast("double")).alias("__mz"),
         peaks_of(get("peaks")).alias("__peaks"),
     )
@@ -112,7 +128,10 @@ def classify_lines(raw: DataFrame) -> DataFrame:
         "file_name", "line_no", "line_text", "__q", "__n", "__p.*"
     )
     bad_mz = F.coalesce(~((F.col("__mz") > 0) & (F.col("__mz") < 2000)), F.lit(True))
-    bad_peaks = F.coalesce(F.size("__peaks") != F.trim("num_peaks").try_cast("int"), F.lit(True)) | F.col("__peaks").isNull()
+    told = F.trim("num_peaks")
+    # as a number, not cut to a whole one: 2.5 peaks are not 2
+    told = F.when(told.rlike(f"^{NUMBER}$"), told.try_cast("double"))
+    bad_peaks = F.coalesce(F.size("__peaks").cast("double") != told, F.lit(True)) | F.col("__peaks").isNull()
     reason = (
         F.when(~F.col("__q"), "quotes")
         .when(F.col("__n") != n, "columns")
@@ -123,7 +142,7 @@ def classify_lines(raw: DataFrame) -> DataFrame:
 
 
 def load_rows(raw: DataFrame) -> DataFrame:
-    """The valid lines as typed spectra."""
+    """The valid lines as typed spectra; other fields than precursor and peaks are null where they do not cast."""
     good = classify_lines(raw).filter(F.col("reason").isNull())
     num = lambda c, t: F.trim(c).try_cast(t).alias(c)
     return good.select(

@@ -27,6 +27,11 @@ LINES = {
     "1,2,2,300,1,,1,100:-1,t": "peaks",
     "1,2,2,300,1,,1,100:1:2,t": "peaks",
     "1,2,2,300,1,,x,100:1,t": "peaks",
+    "1,2,2,300,1,,1.5,100:1,t": "peaks",
+    "1,2,2,300,1,,1.0,100:1,t": None,
+    '1,2,2,300,1,,1,100:1,"a,b': "quotes",
+    '1,2,2,300,1,,1, "100:1",t': "quotes",
+    '1,2,2,300,1,,1,100:1,"t",u': "columns",
 }
 
 
@@ -62,3 +67,18 @@ def test_long_line(spark):
     rows = [("a", 1, HEAD), ("a", 2, f'1,2,2,300,1,,30000,"{peaks}",t'), ("a", 3, '1,2,2,300,1,,1,"' + "x" * 300_000)]
     got = {r.line_no: r.reason for r in B.classify_lines(frame(spark, rows)).collect()}
     assert got == {2: None, 3: "quotes"}
+
+
+def test_other_schemas_and_headers_too_large_to_broadcast(spark, monkeypatch):
+    cols = ("peaks", "num_peaks", "precursor_mz")
+    rows = [("a", 1, "num_peaks;precursor_mz;peaks"), ("a", 2, "1;300;100:1"), ("a", 3, "2;300;100:1"), ("a", 4, "1;300"), ("b", 2, "100:1,1,300"), ("c", 1, "x,y,z"), ("c", 2, "100:1,1,300")]
+    want = {("a", 2, None), ("a", 3, "peaks"), ("a", 4, "columns"), ("b", 2, None), ("c", 2, None)}
+    for size in (B.HEADER_BYTES, 0):
+        monkeypatch.setattr(B, "HEADER_BYTES", size)
+        got = B.classify_lines(frame(spark, rows), cols)
+        assert {(r.file_name, r.line_no, r.reason) for r in got.collect()} == want
+
+
+def test_only_doubtful_lines_are_read_again(spark):
+    plan = B.rejected_rows(frame(spark, [("a", 1, HEAD), ("a", 2, GOOD)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "corrupt" in plan
