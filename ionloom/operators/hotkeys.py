@@ -1,9 +1,10 @@
 """Per-key aggregates that stay balanced when a few keys hold most rows.
 
-Rows never travel by key.  Every input split is turned into dense accumulator
-arrays indexed by a dictionary code of the key (``numpy.bincount`` and scatter
-reductions); only array blocks are shuffled and they are summed block by block, so
-a key with a third of all rows costs the same as any other key.
+Rows never travel by key.  Every input split dictionary-encodes the keys it meets and fills dense
+accumulator arrays indexed by their codes (``numpy.bincount`` and scatter
+reductions); only array blocks are shuffled, one per split and range of key hashes, and they are summed range by
+range.  A key with a third of all rows costs the same as any other key, and
+nothing depends on how many keys there are.
 """
 
 from __future__ import annotations
@@ -14,17 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..session import cut_lineage
+from ..session import small_or_none
 
-#: Largest dictionary that is broadcast (8 bytes of code and the key per entry) and
-#: that one task holds as accumulators.  A larger key set takes the salted route.
+#: Keys of one dictionary: a split that meets more passes its arrays on and starts anew.
 DICTIONARY_LIMIT = 500_000
-#: Cells per shuffled array block.
-BLOCK = 4096
-#: Salts of the first step of the block reduction and of the salted route.
-SALTS = 32
+#: Ranges of key hashes, as a multiple of the shuffle partitions.
+RANGES_PER_PARTITION = 4
+#: Ids delivered more than once up to which their table is broadcast (16 bytes a row).
+REPEATED_ROWS = 500_000
 
 
 def latest_per_id(df: DataFrame, id_col: str, order_col: str, cols: Sequence[str]) -> DataFrame:
@@ -41,153 +40,175 @@ def latest_per_id(df: DataFrame, id_col: str, order_col: str, cols: Sequence[str
     )
 
 
-def dictionary(df: DataFrame, keys: Sequence[str], limit: int = DICTIONARY_LIMIT) -> DataFrame | None:
-    """Dense codes ``__code`` 0..n-1 for the distinct keys, or None above ``limit`` keys.
+def latest_wide(df: DataFrame, id_col: str, order_col: str, cols: Sequence[str]) -> DataFrame:
+    """As :func:`latest_per_id`, for wide rows of which few come more than once.
 
-    ``distinct`` combines on the map side, so hot keys shrink before the shuffle.
+    Ids are counted first, which shuffles only ids.  Rows delivered once pass as they are; only those
+    delivered repeatedly are reduced.  Where too many are, all rows are.
     """
-    keyset = cut_lineage(df.select(*keys).distinct())
-    if keyset.count() > limit:
-        return None
-    order = Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys])  # at most `limit` rows
-    return keyset.withColumn("__code", (F.row_number().over(order) - 1).cast("int"))
+    repeated = df.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("__id")
+    if small_or_none(repeated, REPEATED_ROWS) is None:
+        return latest_per_id(df, id_col, order_col, cols)
+    slim = df.filter(F.col(id_col).isNotNull()).select(id_col, F.col(order_col).alias("__order"), *cols)
+    once = slim.join(F.broadcast(repeated), F.col(id_col) == F.col("__id"), "left_anti").select(id_col, *cols)
+    again = slim.join(F.broadcast(repeated), F.col(id_col) == F.col("__id"), "left_semi")
+    return once.unionByName(latest_per_id(again, id_col, "__order", cols))
+
+
+class _Arrays:
+    """Dense accumulators over the codes of one dictionary."""
+
+    def __init__(self, fields: list[pa.Field], n_values: int) -> None:
+        self.fields, self.v = fields, n_values
+        self.clear()
+
+    def clear(self) -> None:
+        self.code: dict[tuple, int] = {}
+        self.hash: list[int] = []
+        self.ints = np.zeros((1 + self.v, 0), np.int64)
+        self.total, self.low, self.high = (np.zeros((self.v, 0)) for _ in range(3))
+
+    def codes(self, columns: list[pa.Array], hashes: pa.Array) -> np.ndarray:
+        """Dictionary codes of the rows' keys (nulls are equal); the arrays grow with the dictionary."""
+        joint = np.zeros(len(hashes), np.int64)
+        for c in columns:
+            d = c.dictionary_encode(null_encoding="encode")
+            _, joint = np.unique(joint * max(1, len(d.dictionary)) + d.indices.to_numpy(), return_inverse=True)
+        _, first = np.unique(joint, return_index=True)
+        at = pa.array(first)
+        code = np.zeros(len(first), np.int64)
+        for i, (key, h) in enumerate(zip(zip(*[c.take(at).to_pylist() for c in columns], strict=True), hashes.take(at).to_pylist(), strict=True)):
+            code[i] = known = self.code.setdefault(key, len(self.code))
+            if known == len(self.hash):
+                self.hash.append(h)
+        more = len(self.code) - self.ints.shape[1]
+        if more > 0:
+            more = max(more, self.ints.shape[1])  # grow by doubling
+            self.ints = np.pad(self.ints, ((0, 0), (0, more)))
+            self.total = np.pad(self.total, ((0, 0), (0, more)))
+            self.low = np.pad(self.low, ((0, 0), (0, more)), constant_values=np.inf)
+            self.high = np.pad(self.high, ((0, 0), (0, more)), constant_values=-np.inf)
+        return code[joint]
+
+    def add_rows(self, code: np.ndarray, values: list[np.ndarray]) -> None:
+        size = self.ints.shape[1]
+        self.ints[0] += np.bincount(code, minlength=size)
+        for i, x in enumerate(values):
+            ok = ~np.isnan(x)
+            c, x = code[ok], x[ok]
+            self.ints[1 + i] += np.bincount(c, minlength=size)
+            self.total[i] += np.bincount(c, weights=x, minlength=size)
+            np.minimum.at(self.low[i], c, x)
+            np.maximum.at(self.high[i], c, x)
+
+    def add_block(self, code: np.ndarray, ints: list[np.ndarray], floats: list[np.ndarray]) -> None:
+        for i, x in enumerate(ints):
+            np.add.at(self.ints[i], code, x)
+        for i in range(self.v):
+            total, low, high = floats[3 * i : 3 * i + 3]
+            np.add.at(self.total[i], code, total)
+            np.minimum.at(self.low[i], code, low)
+            np.maximum.at(self.high[i], code, high)
+
+    def columns(self, pick: np.ndarray) -> list[pa.Array]:
+        """The accumulators of the picked codes: the ints, then sum, min and max of each value."""
+        out = [pa.array(x[pick]) for x in self.ints]
+        for i in range(self.v):
+            out += [pa.array(x[i][pick]) for x in (self.total, self.low, self.high)]
+        return out
+
+    def keys(self, pick: np.ndarray) -> list[pa.Array]:
+        every = list(self.code)
+        return [pa.array([every[c][i] for c in pick], f.type) for i, f in enumerate(self.fields)]
+
+    def blocks(self, ranges: int) -> Iterator[pa.RecordBatch]:
+        """One row per range of key hashes: its keys and their accumulators as arrays."""
+        if not self.code:
+            return
+        where = np.array(self.hash, np.int64) % ranges
+        pick = np.argsort(where, kind="stable")
+        met, start = np.unique(where[pick], return_index=True)
+        offsets = pa.array(np.append(start, len(pick)), pa.int32())
+        arrays = [pa.ListArray.from_arrays(offsets, a) for a in [*self.keys(pick), *self.columns(pick)]]
+        yield pa.RecordBatch.from_arrays([pa.array(met), *arrays], ["range", *[f"a{i}" for i in range(len(arrays))]])
+        self.clear()
 
 
-def _accumulate(size: int, n_values: int):
-    """mapInArrow function: one split -> its non-empty array blocks."""
+def _accumulate(n_keys: int, n_values: int, ranges: int, limit: int):
+    """mapInArrow function: one split -> its array blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(size, np.int64)
-        seen = np.zeros((n_values, size), np.int64)
-        total = np.zeros((n_values, size))
-        low = np.full((n_values, size), np.inf)
-        high = np.full((n_values, size), -np.inf)
-        any_rows = False
+        arrays = None
         for batch in batches:
-            code = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(code):
+            if not batch.num_rows:
                 continue
-            any_rows = True
-            count += np.bincount(code, minlength=size)
-            for v in range(n_values):
-                x = batch.column(1 + v).to_numpy(zero_copy_only=False).astype(float)
-                ok = ~np.isnan(x)
-                c, x = code[ok], x[ok]
-                seen[v] += np.bincount(c, minlength=size)
-                total[v] += np.bincount(c, weights=x, minlength=size)
-                np.minimum.at(low[v], c, x)
-                np.maximum.at(high[v], c, x)
-        if not any_rows:
-            return
-        for block in np.unique(np.flatnonzero(count) // BLOCK):
-            a, b = block * BLOCK, min(size, (block + 1) * BLOCK)
-            pad = lambda x, fill: np.concatenate([x, np.full(BLOCK - len(x), fill, x.dtype)]) if len(x) < BLOCK else x
-            ints = np.concatenate([pad(count[a:b], 0), *[pad(seen[v, a:b], 0) for v in range(n_values)]])
-            floats = np.concatenate(
-                [np.zeros(0)]
-                + [pad(m[v, a:b], f) for v in range(n_values) for m, f in ((total, 0.0), (low, np.inf), (high, -np.inf))]
-            )
-            yield _block(int(block), ints, floats)
+            arrays = arrays or _Arrays([batch.schema.field(i) for i in range(n_keys)], n_values)
+            code = arrays.codes(batch.columns[:n_keys], batch.column(n_keys))
+            arrays.add_rows(code, [batch.column(n_keys + 1 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(n_values)])
+            if len(arrays.code) >= limit:
+                yield from arrays.blocks(ranges)
+        if arrays:
+            yield from arrays.blocks(ranges)
 
     return run
 
 
-def _block(block: int, ints: np.ndarray, floats: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([block], pa.int64()),
-            pa.array([ints], pa.list_(pa.int64())),
-            pa.array([floats], pa.list_(pa.float64())),
-        ],
-        ["block", "ints", "floats"],
-    )
-
+def _reduce(n_keys: int, n_values: int, names: list[str]):
+    """mapInArrow function over blocks sorted by range: the blocks of a range are summed as they come."""
 
-def _add(n_values: int):
-    """applyInArrow function: element-wise reduction of the copies of one block."""
+    def close(arrays: _Arrays) -> pa.RecordBatch:
+        pick = np.arange(len(arrays.code))
+        cols = arrays.columns(pick)
+        out = [*arrays.keys(pick), cols[0]]
+        for i in range(n_values):
+            some = arrays.ints[1 + i][pick] == 0
+            out.append(cols[1 + i])
+            out += [pa.array(x[i][pick], mask=some) for x in (arrays.total, arrays.low, arrays.high)]
+        return pa.RecordBatch.from_arrays(out, names)
 
-    def run(t: pa.Table) -> pa.Table:
-        ints = np.zeros((1 + n_values) * BLOCK, np.int64)
-        floats = np.tile(np.repeat([0.0, np.inf, -np.inf], BLOCK), n_values)
-        for row_i, row_f in zip(t.column("ints"), t.column("floats"), strict=True):
-            ints += row_i.values.to_numpy(zero_copy_only=False)
-            if n_values:
-                x = row_f.values.to_numpy(zero_copy_only=False).reshape(n_values, 3, BLOCK)
-                f = floats.reshape(n_values, 3, BLOCK)
-                f[:, 0] += x[:, 0]
-                np.minimum(f[:, 1], x[:, 1], out=f[:, 1])
-                np.maximum(f[:, 2], x[:, 2], out=f[:, 2])
-        return pa.Table.from_batches([_block(t.column("block")[0].as_py(), ints, floats)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays, at = None, None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lists = [batch.column(1 + i)[row].values for i in range(batch.num_columns - 1)]
+                fields = [pa.field(names[i], lists[i].type) for i in range(n_keys)]
+                here = batch.column(0)[row].as_py()
+                if here != at:
+                    if arrays is not None:
+                        yield close(arrays)
+                    arrays, at = _Arrays(fields, n_values), here
+                code = arrays.codes(lists[:n_keys], pa.nulls(len(lists[0]), pa.int64()))
+                rest = [x.to_numpy(zero_copy_only=False) for x in lists[n_keys:]]
+                arrays.add_block(code, rest[: 1 + n_values], rest[1 + n_values :])
+        if arrays is not None:
+            yield close(arrays)
 
     return run
 
 
-def aggregate_by_key(
-    df: DataFrame,
-    keys: Sequence[str],
-    values: Sequence[str] = (),
-    limit: int = DICTIONARY_LIMIT,
-    key_rows: DataFrame | None = None,
-) -> DataFrame:
+def aggregate_by_key(df: DataFrame, keys: Sequence[str], values: Sequence[str] = (), limit: int = DICTIONARY_LIMIT) -> DataFrame:
     """Rows per key and, for each value column, ``n_``, ``sum_``, ``min_`` and ``max_``.
 
     A null in a key is a key value of its own.  Null and NaN values are not counted
     in the value columns; a key without any value has sum, min and max null.  Extra
     columns are ignored.  An empty input gives an empty result.
 
-    Up to ``limit`` distinct keys the dense-array route is taken; the dictionary's
-    size is checked before it is broadcast.  Beyond it, rows are aggregated by
-    (key, salt) and then by key, which is exact as well.  ``key_rows`` may name
-    cheaper rows to take the dictionary from; they must cover every key of ``df``.
+    A split sends one block per range of key hashes and ``limit`` keys it has met, so a range's task reads
+    at most as many accumulators of one key as there are splits.
     """
     keys, values = list(keys), list(values)
-    slim = df.select(*keys, *[F.col(v).cast("double").alias(f"__v{i}") for i, v in enumerate(values)])
-    codes = dictionary(slim if key_rows is None else key_rows, keys, limit)
-    if codes is None:
-        return _salted(slim, keys, values)
-    codes = cut_lineage(codes)
-    size = codes.count()
-    if not size:
-        return _salted(slim, keys, values)
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    coded = slim.alias("r").join(F.broadcast(codes.alias("d")), cond).select("__code", *[f"__v{i}" for i in range(len(values))])
-    schema = "block long, ints array<long>, floats array<double>"
-    blocks = coded.mapInArrow(_accumulate(size, len(values)), schema)
-    add = _add(len(values))
-    # two steps, so that no task adds up more than a share of all splits' blocks
-    partly = blocks.withColumn("salt", F.spark_partition_id() % SALTS).groupBy("block", "salt").applyInArrow(add, schema)
-    summed = partly.groupBy("block").applyInArrow(add, schema)
-    n = len(values)
-    cell = summed.select(
-        (F.col("block") * BLOCK).alias("__base"),
-        F.posexplode(F.slice("ints", 1, BLOCK)).alias("__at", "n_rows"),
-        "ints",
-        "floats",
-    ).filter("n_rows > 0")
-    out = [(F.col("__base") + F.col("__at")).cast("int").alias("__code"), "n_rows"]
-    for v in range(n):
-        some = F.get("ints", F.col("__at") + (1 + v) * BLOCK)
-        out.append(some.alias(f"n_{values[v]}"))
-        for j, name in enumerate(("sum", "min", "max")):
-            x = F.get("floats", F.col("__at") + (3 * v + j) * BLOCK)
-            out.append(F.when(some > 0, x).alias(f"{name}_{values[v]}"))
-    result = cell.select(*out).join(F.broadcast(codes), "__code").drop("__code")
-    return result.select(*keys, "n_rows", *[f"{a}_{v}" for v in values for a in ("n", "sum", "min", "max")])
-
-
-def _salted(slim: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Two-step aggregation: (key, salt) first, so one key is spread over many tasks."""
-    first, last = [F.count(F.lit(1)).alias("n_rows")], [F.sum("n_rows").alias("n_rows")]
-    for i, v in enumerate(values):
-        x = F.when(~F.isnan(f"__v{i}"), F.col(f"__v{i}"))
-        for a, f in (("n", F.count), ("sum", F.sum), ("min", F.min), ("max", F.max)):
-            first.append(f(x).alias(f"{a}_{v}"))
-            last.append((F.sum if a in ("n", "sum") else f)(f"{a}_{v}").alias(f"{a}_{v}"))
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("__salt")
-    return slim.withColumn("__salt", salt).groupBy(*keys, "__salt").agg(*first).groupBy(*keys).agg(*last)
+    kinds = dict(df.dtypes)
+    ranges = RANGES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = df.select(
+        *keys, F.pmod(F.xxhash64(*keys), F.lit((1 << 31) - 1)).alias("__h"), *[F.col(v).cast("double").alias(f"__v{i}") for i, v in enumerate(values)]
+    )
+    arrays = [*[kinds[k] for k in keys], *["long"] * (1 + len(values)), *["double"] * (3 * len(values))]
+    schema = ", ".join(["range long", *[f"a{i} array<{t}>" for i, t in enumerate(arrays)]])
+    blocks = slim.mapInArrow(_accumulate(len(keys), len(values), ranges, limit), schema)
+    names = [*keys, "n_rows", *[f"{a}_{v}" for v in values for a in ("n", "sum", "min", "max")]]
+    kind_of = [*[kinds[k] for k in keys], "long", *["long", "double", "double", "double"] * len(values)]
+    out = ", ".join(f"`{c}` {t}" for c, t in zip(names, kind_of, strict=True))
+    return blocks.repartition("range").sortWithinPartitions("range").mapInArrow(_reduce(len(keys), len(values), names), out)
 
 
 def _has_pair(df: DataFrame) -> DataFrame:
@@ -206,8 +227,7 @@ def charge_mz_pairs(spectra: DataFrame) -> DataFrame:
 
 def pair_stats(spectra: DataFrame, values: Sequence[str] = ()) -> DataFrame:
     """Spectra (and value statistics) per (charge, whole precursor m/z) pair."""
-    cover = _has_pair(spectra.select("charge", "precursor_mz"))
-    return aggregate_by_key(charge_mz_pairs(spectra), ["charge", "mz_bin"], values, key_rows=cover)
+    return aggregate_by_key(charge_mz_pairs(spectra), ["charge", "mz_bin"], values)
 
 
 def hot_pairs(spectra: DataFrame, permille: int = 15) -> DataFrame:

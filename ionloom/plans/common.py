@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import PRECURSOR_GAP, clean_spectra
-from ..operators.hotkeys import latest_per_id
+from ..operators.hotkeys import latest_wide
 from ..session import table
 
 #: Every spectrum whose id is divisible by this is a query.
@@ -18,7 +18,7 @@ def all_spectra(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     df = table(spark, sf_dir, "spectrum")
     if "metadata" in extra:  # maps have no order, their entries have
         df = df.withColumn("metadata", F.map_entries("metadata"))
-    one = latest_per_id(df, "spec_id", "loaded_at", ["charge", "precursor_mz", "peaks", *extra])
+    one = latest_wide(df, "spec_id", "loaded_at", ["charge", "precursor_mz", "peaks", *extra])
     return one.withColumn("metadata", F.map_from_entries("metadata")) if "metadata" in extra else one
 
 

@@ -38,7 +38,7 @@ def test_hot_pairs_threshold_is_inclusive(spark):
 
 
 @pytest.mark.parametrize("limit", [H.DICTIONARY_LIMIT, 3])
-def test_dense_and_salted_routes_agree(spark, limit):
+def test_small_dictionaries_agree(spark, limit):
     df = spark.createDataFrame([("a", 1.0), ("a", None), (None, 2.0), (None, float("nan")), ("b", None), ("c", -3.5), ("a", 4.0)], "k string, v double")
     got = {r.k: tuple(r)[1:] for r in H.aggregate_by_key(df, ["k"], ["v"], limit).collect()}
     assert got == {"a": (3, 2, 5.0, 1.0, 4.0), None: (2, 1, 2.0, 2.0, 2.0), "b": (1, 0, None, None, None), "c": (1, 1, -3.5, -3.5, -3.5)}
@@ -60,3 +60,13 @@ def test_latest_delivery_counts(spark):
     data = [(1, 1, 100.0, 1, "", 0), (1, 2, 200.0, 2, "", 0), (None, 1, 100.0, 1, "", 0)]
     got = H.charge_mz_pairs(spark.createDataFrame(data, SCHEMA)).collect()
     assert [tuple(r) for r in got] == [(1, 2, 200, 200.0)]
+
+
+def test_wide_rows_keep_the_last_delivery(spark, monkeypatch):
+    data = [(i, [float(i)], 1) for i in range(50)] + [(i, [-1.0], 2) for i in range(5)] + [(7, [9.0], 1), (None, [0.0], 1)]
+    df = spark.createDataFrame(data, "id long, peaks array<double>, at long")
+    want = {i: ([-1.0] if i < 5 else [9.0] if i == 7 else [float(i)]) for i in range(50)}
+    for rows in (H.REPEATED_ROWS, 1):
+        monkeypatch.setattr(H, "REPEATED_ROWS", rows)
+        got = H.latest_wide(df, "id", "at", ["peaks"]).collect()
+        assert len(got) == 50 and {r.id: r.peaks for r in got} == want
