@@ -18,7 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Largest name list that is sent to the tasks.
+from ..session import cut_lineage, small_or_none, spread
+
+#: Largest name list that is sent to the tasks as it is.  Of a longer one go those names, and beginnings
+#: and ends of names, that some word of the documents has.
 NAME_LIMIT = 200_000
 THRESHOLD = 0.5
 #: Characters looked at on either side of a span for context words.
@@ -71,10 +74,15 @@ def letter_mod23(text: str) -> bool:
 
 # ---------------------------------------------------------------- patterns
 
-_ID_WORDS = r"identit|identity|kennnummer|personal number|personnel|passport|passeport|ausweis|social security|tax id|insurance no|card|iban|account"
-_NOT_ID = r"invoice|file ref|docket|sheet|volume|case|para|lists|ends in|sum of"
-_PHONE_WORDS = r"telephone|téléphone|phone|tel\b|tel\.|rufnummer|telefon|joint au|numéro|the number|call|mobile|fax|reached|records|and left"
-_NOT_PHONE = r"sum of|crowns|file ref|invoice|sheet|volume|docket|para|ells"
+# Words of the three languages that stand beside personal numbers, and beside other numbers.
+_ID_WORDS = r"identit|identification|kennnummer|personal(?:ausweis| number|nummer)|personnel|pass(?:port|eport)|reisepass|ausweis|social security|sozialversicherung|sécurité sociale|tax (?:id|no|number)|steuer|fiscal|insurance (?:no|number)|versicherten|assuré|licen[cs]e no|führerschein|permis|\bcard|karte|carte|\biban|account|konto|compte"
+_NOT_ID = r"invoice|rechnung|facture|file ref|reference|aktenzeichen|docket|dossier|sheet|volume|\bcase\b|paragraph|\bpara\b|article|lists|ends in|sum of|amount|order no"
+_PHONE_WORDS = r"phon|telefon|\bt[eé]l\b|\bt[eé]l\.|mobile?\b|handy|portable|\bcell\b|\bfax|télécopie|ruf|durchwahl|hotline|\bcall|\bdial|anruf|appel[eé]|reach|erreich|join(?:dre|t au|ts? par)|contact|kontakt|numéro|nummer|\bnumber"
+_NOT_PHONE = r"sum of|amount|total|betrag|summe|somme|montant|price|preis|prix|crowns|file ref|reference|aktenzeichen|invoice|rechnung|facture|sheet|blatt|volume|band|docket|dossier|paragraph|\bpara\b|article|item|order no"
+#: Money and measures after a number, which then is none to call.
+_UNITS = r"\s*(?:[€$£%]|(?:eur|usd|gbp|chf|sek|nok|dkk)\b|(?:crown|kron|euro|dollar|pound|franc|franken|mark|met(?:re|er)|kilo|km\b|kg\b|tonne|ton\b|litre|liter|hectare|hektar)s?)"
+# fixed values: kinds of courts, whose names are no streets
+_COURT = "Regional|High|Supreme|District|Labour|Maritime|County|Crown|Federal|Constitutional|Commercial|Criminal|Civil|Administrative|Appeal|Family|Local|Circuit|Superior|Tax|Patent|Social|Central|General|Military|Juvenile|Municipal|Provincial|State|National"
 _S = r"[ \t]*\n?[ \t]*"  # blanks with at most one line break
 _ABBR = r"(?:\.(?=[.,;)]|\s+[a-z(]))?"  # a dot before a capital ends the sentence
 _TOWN = r"[A-ZÀ-ÖØ-Þ][\w’'-]+"
@@ -98,7 +106,7 @@ RULES = [
     ("number", "phone", r"(?<![\w.+-])0\d(?:[\s.]\d{2}){4}(?![\w-])", 0.5, None, _PHONE_WORDS, _NOT_PHONE),
     ("number", "phone", r"(?<![\w.+-])0\d{1,4}/\d{3,8}(?:[\s-]\d{2,5})?(?![\w-])", 0.4, None, _PHONE_WORDS, _NOT_PHONE),
     ("number", "phone", r"(?<![\w.+-])0\d{1,4}\s\d{3,8}-\d{2,5}(?![\w-])", 0.4, None, _PHONE_WORDS, _NOT_PHONE),
-    ("house", "address", rf"(?<![\w./§¶(\[-])(?:Flat\s+\d+[a-z]?,\s+)?(?<!page )(?<!Seite )\b\d+[a-z]?\s+(?!(?:The|On|In|By|As|At|It)\b|(?:Regional|High|Supreme|District|Labour|Maritime)\s+Court\b)(?:[A-Z][\w’']*\.?\s+){{1,3}}?(?:Street|Lane|Road|Close|Court|Row|Avenue|Drive|Square|Place|Terrace|Way|(?:St|Rd|Ave)\b{_ABBR})(?![\w’'])(?:,\s+{_TOWN}(?:\s+[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s+\d[A-Z]{{2}}\b)?)?", 0.6, None, "", ""),
+    ("house", "address", rf"(?<![\w./§¶(\[-])(?:Flat\s+\d+[a-z]?,\s+)?(?<!page )(?<!Seite )\b\d+[a-z]?\s+(?!(?:The|On|In|By|As|At|It)\b|(?:{_COURT})\s+Court\b)(?:[A-Z][\w’']*\.?\s+){{1,3}}?(?:Street|Lane|Road|Close|Court|Row|Avenue|Drive|Square|Place|Terrace|Way|(?:St|Rd|Ave)\b{_ABBR})(?![\w’'])(?:,\s+{_TOWN}(?:\s+[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s+\d[A-Z]{{2}}\b)?)?", 0.6, None, "", ""),
     ("street", "address", rf"\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|damm)\s+\d+[a-z]?(?:,\s+\d{{5}}\s+{_TOWN})?", 0.6, None, "", ""),
     ("house", "address", rf"(?<![\w./-])\d+[a-z]?,?\s+(?:rue|avenue|quai|boulevard|place|chemin|allée|impasse|cours|route)\s+(?:de\s+la\s+|de\s+l['’]|des\s+|du\s+|de\s+|d['’])?[A-ZÀ-ÖØ-Þ][\w’'-]*(?:,\s+\d{{5}}\s+{_TOWN})?", 0.6, None, "", ""),
 ]
@@ -106,6 +114,9 @@ RULES = [
 
 #: Cheap tests that tell where a group of rules can match.
 _DOT = re.compile(r"\sdot\s")
+_BRACKETED_AT = re.compile(r"[\[({]\s?at\s?[\])}]")
+_BLANKS = re.compile(r"\s")
+_UNIT_AFTER = re.compile(_UNITS, re.I)
 _LONG_NUMBER = re.compile(r"\d[\d\s.()/\-]{4,}\d[A-Z]?")
 _PLACE_NUMBER = re.compile(r"\d+[a-z]?,?\s+(?=[A-Z]|rue|avenue|quai|boulevard|place|chemin|allée|impasse|cours|route)")
 _FLAT_BEFORE = re.compile(r"\bFlat\s+\d+[a-z]?,\s+$")
@@ -126,11 +137,14 @@ class Names:
     """What a name list tells about words: listed names, and beginnings and ends that
     at least ``least`` listed names share."""
 
-    def __init__(self, given: Iterable[str], family: Iterable[str], least: int = 3) -> None:
+    def __init__(self, given: Iterable[str], family: Iterable[str], least: int = 3, ends: dict | None = None) -> None:
         self.lists = {"given": {n.casefold() for n in given if n}, "family": {n.casefold() for n in family if n}}
-        self.ends = {kind: self._affixes(names, least) for kind, names in self.lists.items()}
+        self.ends = ends or {kind: self._affixes(names, least) for kind, names in self.lists.items()}
         self.seen: dict[tuple[str, str], bool] = {}
 
+    def listed(self, word: str, kind: str) -> bool:
+        return word.casefold() in self.lists[kind]
+
     @staticmethod
     def _affixes(names: set[str], least: int) -> tuple[set[str], set[str]]:
         head, tail = Counter(), Counter()
@@ -163,15 +177,16 @@ class Names:
 
 
 def _checked(kind: str, text: str) -> float:
-    """Score change by checksum: a confirmed number is sure, a failed one doubtful."""
+    """Score change by checksum: a confirmed number is sure, a failed one needs words beside it
+    that say what it is."""
     bare = re.sub(r"[^A-Z0-9]", "", text)
     if kind == "luhn":
         return 0.5 if luhn(bare) else -0.2
     if kind == "iban":
         return 0.6 if mod97(bare) else -0.2
     if kind == "two":
-        return 0.3 if two_check_digits(bare) else 0.0
-    return 0.3 if letter_mod23(bare) else 0.0
+        return 0.3 if two_check_digits(bare) else -0.15
+    return 0.3 if letter_mod23(bare) else -0.15
 
 
 class Finder:
@@ -189,14 +204,20 @@ class Finder:
         found: list[Span] = []
         at = text.find("@")
         while at >= 0:
-            self._try("sign", text, max(0, at - 80), at + 80, at, found)
-            at = text.find("@", at + 1)
-        if "at]" in text or "at)" in text or "at }" in text:
+            # the run of characters without blanks around the sign
+            start = max(text.rfind(b, 0, at) for b in " \n") + 1
+            blank = _BLANKS.search(text, at)
+            end = blank.start() if blank else len(text)
+            self._try("sign", text, start, end, None, found)
+            at = text.find("@", end)
+        if _BRACKETED_AT.search(text):
             self._try("bracket", text, 0, len(text), None, found)
         if "dot" in text and _DOT.search(text):
             self._try("dot", text, 0, len(text), None, found)
         for m in _LONG_NUMBER.finditer(text):
-            self._try("number", text, max(0, m.start() - 12), m.end() + 30, None, found)
+            # patterns take the end of what they see for the end of the text, so it lies at a blank behind the number
+            blank = _BLANKS.search(text, min(len(text), m.end() + 30))
+            self._try("number", text, max(0, m.start() - 12), blank.end() if blank else len(text), None, found)
         for m in _PLACE_NUMBER.finditer(text):
             start = m.start()
             flat = _FLAT_BEFORE.search(text, max(0, start - 16), start)
@@ -229,6 +250,7 @@ class Finder:
                     score += 0.4 * bool(good.search(near) or good.search(text[m.end() : m.end() + 24]))
                     # words that speak against a span stand directly before it
                     score -= 0.6 * bool(bad.search(near[-16:]))
+                    score -= 0.6 * bool(kind == "phone" and _UNIT_AFTER.match(text, m.end()))
                 if score >= THRESHOLD:
                     found.append(Span(m.start(), m.end(), kind, score))
 
@@ -239,7 +261,7 @@ class Finder:
         french: bool | None = None
         last = 0
         for i, (a, b, word) in enumerate(words):
-            if b - a < 4 or a < last or not is_name(word, "family"):
+            if a < last or not is_name(word, "family") or (b - a < 4 and not self.names.listed(word, "family")):
                 continue
             if any(t.start < b and a < t.end for t in taken):
                 continue
@@ -260,6 +282,8 @@ class Finder:
             if score < 0.6:  # a family name alone: the words around decide
                 if _TITLE_BEFORE.search(text, max(0, a - 16), a):
                     score += 0.2
+                elif b - a < 4:  # a short word alone may be any word
+                    score -= 0.2
                 if _COMPANY_AFTER.match(text, b):
                     score -= 0.6
             if score >= THRESHOLD:
@@ -268,7 +292,7 @@ class Finder:
         return out
 
     def _given(self, word: str) -> bool:
-        return len(word) > 2 and self.names.is_name(word, "given")
+        return self.names.is_name(word, "given") and (len(word) > 2 or self.names.listed(word, "given"))
 
 
 def _gap(text: str, a: int, b: int) -> bool:
@@ -288,9 +312,9 @@ def as_written(text: str) -> str:
     return re.sub(r"[ \t]*[\r\n]+[ \t]*", " ", text)
 
 
-def _find(names: tuple[list[str], list[str]]):
+def _find(names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(Names(*names))
+        finder = Finder(names.value)
         for batch in batches:
             ids, kinds, values = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -305,9 +329,9 @@ def _find(names: tuple[list[str], list[str]]):
     return run
 
 
-def _mask(names: tuple[list[str], list[str]]):
+def _mask(names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(Names(*names))
+        finder = Finder(names.value)
         for batch in batches:
             texts, counts = [], []
             for text in batch.column(1).to_pylist():
@@ -331,19 +355,63 @@ def load_names(name_list: DataFrame, limit: int = NAME_LIMIT) -> tuple[list[str]
     return tuple(sorted(r["name"] for r in rows if r["name_type"] == t) for t in ("given", "family"))  # type: ignore[return-value]
 
 
-def find_personal(docs: DataFrame, name_list: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct capitalised words, and their parts at hyphens, of a task's texts."""
+    for batch in batches:
+        met = set()
+        for text in batch.column(0).to_pylist():
+            for word in {m.group().casefold() for m in _WORD.finditer(text or "")}:
+                parts = word.split("-")
+                met.update("-".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(met), pa.string())], ["word"])
+
+
+def _affix_rows(column: str):
+    """Beginnings and ends of two letters or more of a word, as rows (side, affix)."""
+    cuts = F.sequence(F.lit(2), F.length(column) - 2)
+    both = F.transform(cuts, lambda i: F.array(F.struct(F.lit("head").alias("side"), F.substring(F.col(column), F.lit(1), i).alias("affix")),
+                                               F.struct(F.lit("tail").alias("side"), F.substring(F.col(column), i + 1, F.length(column)).alias("affix"))))
+    return F.explode(F.flatten(both))
+
+
+def occurring_names(docs: DataFrame, name_list: DataFrame, text_col: str = "text", least: int = 3) -> Names:
+    """What a name list of any length tells about the words of the documents.
+
+    Listed names and the beginnings and ends that names share are counted over the whole list and
+    joined with the words of all documents; only those that some word has are gathered.
+    """
+    lower = name_list.select(F.lower("name").alias("word"), F.col("name_type").alias("kind")).filter("word is not null and kind is not null").distinct()
+    words = cut_lineage(docs.select(text_col).mapInArrow(_words_in, "word string").distinct())
+    names = {k: [r["word"] for r in lower.filter(F.col("kind") == k).join(words, "word", "left_semi").collect()] for k in ("given", "family")}
+    long = F.length("word") >= 4
+    had = words.filter(long).select(_affix_rows("word").alias("x")).select("x.*").distinct()
+    shared = lower.filter(long).select("kind", _affix_rows("word").alias("x")).groupBy("kind", "x.side", "x.affix").count().filter(F.col("count") >= least)
+    rows = shared.join(had, ["side", "affix"], "left_semi").collect()
+    ends = {k: tuple({r["affix"] for r in rows if r["kind"] == k and r["side"] == side} for side in ("head", "tail")) for k in ("given", "family")}
+    return Names(names["given"], names["family"], least, ends)
+
+
+def _names(docs: DataFrame, name_list: DataFrame, text_col: str, limit: int):
+    """The names as a broadcast value; the list is counted first."""
+    named = name_list.select("name", "name_type").filter(F.col("name").isNotNull()).distinct()
+    few = small_or_none(named, limit) is not None
+    names = Names(*load_names(named, limit)) if few else occurring_names(docs, named, text_col)
+    return docs.sparkSession.sparkContext.broadcast(names)
+
+
+def find_personal(docs: DataFrame, name_list: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_limit: int = NAME_LIMIT) -> DataFrame:
     """``(id, kind, found)``: the distinct values in each document, as written there.
 
     Whole texts are searched.  Null and empty texts give no rows; documents with equal
     ids are searched each on its own; other columns are ignored.
     """
     kind = dict(docs.dtypes)[id_col]
-    slim = docs.select(id_col, text_col).filter(F.length(text_col) > 0)
-    return slim.mapInArrow(_find(load_names(name_list)), f"id {kind}, kind string, found string").withColumnRenamed("id", id_col)
+    slim = spread(docs.select(id_col, text_col).filter(F.length(text_col) > 0))
+    return slim.mapInArrow(_find(_names(docs, name_list, text_col, name_limit)), f"id {kind}, kind string, found string").withColumnRenamed("id", id_col)
 
 
-def mask_personal(docs: DataFrame, name_list: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mask_personal(docs: DataFrame, name_list: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_limit: int = NAME_LIMIT) -> DataFrame:
     """``(id, text, n_masked)``: the texts with typed placeholders; null stays null."""
     kind = dict(docs.dtypes)[id_col]
-    out = docs.select(id_col, text_col).mapInArrow(_mask(load_names(name_list)), f"id {kind}, text string, n_masked int")
+    out = spread(docs.select(id_col, text_col)).mapInArrow(_mask(_names(docs, name_list, text_col, name_limit)), f"id {kind}, text string, n_masked int")
     return out.withColumnRenamed("id", id_col)

@@ -1,3 +1,4 @@
+import functools
 import random
 
 import pytest
@@ -97,6 +98,73 @@ def test_cases(spark):
     assert got[(12, 5)].question_share == 1.0
 
 
+def spoilt(r, word):
+    k = r.randrange(len(word))
+    return word[:k] + r.choice("xyz") + word[k + r.choice([0, 1]) :]
+
+
+def every_run(item, doc, same=functools.cache(L.similar)):
+    """Whether the document leaks the item, from all places where three words in a row are alike."""
+    alike = [[same(a, b) for b in doc] for a in item]
+    hits = [(d, p) for p in range(len(item) - 2) for d in range(len(doc) - 2) if alike[p][d] and alike[p + 1][d + 1] and alike[p + 2][d + 2]]
+    return L.repeated_words(item, doc, hits) >= L.SHARE * len(item)
+
+
+def test_recall_against_brute_force(spark):
+    """Copies with every second, third or any word misspelt, split up, out of order, and half ones."""
+    r = random.Random(11)
+    lexicon = ["".join(r.choice("abcdefghijklmnopqrstuvw") for _ in range(r.randint(4, 11))) for _ in range(400)]
+    sentence = lambda r, n: [r.choice(lexicon) for _ in range(n)]
+    items = [(i, " ".join(sentence(r, r.randint(12, 40))), "") for i in range(20)]
+    docs = []
+    for i in range(80):
+        w = L.words_of(items[i % 20][1])
+        kind = i // 20
+        if kind == 0:
+            step = r.choice([1, 2, 3])
+            w = [spoilt(r, x) if k % step == 0 else x for k, x in enumerate(w)]
+        elif kind == 1:
+            cut = r.randrange(3, len(w) - 3)
+            w = w[:cut] + sentence(r, r.randrange(50)) + w[cut:]
+        elif kind == 2:
+            cut = r.randrange(3, len(w) - 3)
+            w = w[cut:] + w[:cut]
+        else:
+            w = [spoilt(r, x) if r.random() < 0.3 else x for x in w[: r.randrange(3, len(w))]]
+        docs.append((i, " ".join(sentence(r, r.randrange(40)) + w + sentence(r, r.randrange(40)))))
+    got = set(run(spark, docs, items))
+    words = {i: L.words_of(p) for i, p, _ in items}
+    want = {(d, i) for d, t in docs for i in words if every_run(words[i], L.words_of(t))}
+    assert len(want) > 45
+    assert len(got & want) / len(want) >= 0.99 and got <= want
+
+
+def test_thresholds_are_lower_bounds():
+    r = random.Random(5)
+    items = [(i, " ".join(sentence(r, 21)), "") for i in range(30)]
+    index = L.ItemIndex(items)
+    place = {}
+    for t in range(len(index.terms)):
+        for k in range(index.place_start[t], index.place_start[t + 1]):
+            place[(int(index.place_item[k]), int(index.place_word[k]))] = t
+    impact = [dict(p) for p in index.postings]
+    for _ in range(200):  # 12 words in four runs of three, or in longer runs
+        i = r.randrange(30)
+        starts = sorted(r.sample(range(0, 19, 3), 4))
+        assert sum(impact[place[(i, s)]][i] for s in starts) >= 1.0
+    assert (L.least_triples(3), L.least_triples(4), L.least_triples(6), L.least_triples(7)) == (1, 2, 2, 3)
+
+
+def test_whole_blocks_are_passed_over():
+    # one rare strong item far behind many weak postings
+    items = [(i, f"aa{i}x bb cc dd ee ff gg hh", "") for i in range(900)]
+    index = L.ItemIndex(items)
+    terms = list(range(len(index.terms)))
+    common = [t for t in terms if index.post_start[t + 1] - index.post_start[t] == 900]
+    got = index.retrieve(common, 0.9 * sum(float(index.term_max[t]) for t in common))
+    assert len(got) == 900
+
+
 def test_blocks_of_items_give_the_same(spark):
     r = random.Random(9)
     items = [(i, " ".join(sentence(r, 25)), "") for i in range(20)]

@@ -50,6 +50,35 @@ def test_cases(text):
     assert found(text) == CASES[text]
 
 
+def test_listed_names_of_any_length():
+    finder = P.Finder(P.Names([*GIVEN, "Bo"], [*FAMILY, "Kim", "Ng", "Lee"]))
+    got = {P.as_written(t) for text in ("Judge Kim sat.", "Brendor Lee and Bo Ng spoke.", "Ng, Brengo at 1", "the lee of Kim") for s in finder.spans(text) for t in [text[s.start : s.end]]}
+    assert got == {"Kim", "Brendor Lee", "Bo Ng", "Ng, Brengo"}
+
+
+@pytest.mark.parametrize("name", ["a" * 100, "x." * 200 + "y"])
+def test_long_addresses_are_found_whole(name):
+    mail = f"{name}@{'sub.' * 40}host.example"
+    assert found(f"wrote to {mail}, then") == {("email", mail)}
+    assert found(f"wrote to {mail}") == {("email", mail)}
+    assert found("x" * 3000 + "@") == set()
+
+
+def test_brackets_with_blanks():
+    assert found("mail j.doe [ at ] host [ dot ] org now") == {("email", "j.doe [ at ] host [ dot ] org")}
+
+
+def test_numbers_are_not_cut_at_the_end_of_what_is_seen():
+    for pad in range(40):
+        text = "telephone +44 1632 960 335" + "-" + "9" * pad + "x and so on"
+        assert not any(v == "+44 1632 960 335" for _, v in found(text))
+
+
+def test_amounts_are_no_numbers_to_call():
+    assert found("call it 01 90 00 00 00 euros") == set()
+    assert found("call 01 90 00 00 00 now") == {("phone", "01 90 00 00 00")}
+
+
 def test_checksums():
     assert P.luhn("4111111111111111") and not P.luhn("4111111111111112")
     assert P.mod97("GB82WEST12345698765432") and not P.mod97("GB82WEST12345698765433")
@@ -77,6 +106,15 @@ def test_find_and_mask(spark):
     assert not re.search("Abrolm|a@b", masked[(1, 5)])
 
 
+def test_long_name_lists_tell_the_same(spark):
+    text = "Brendor\nAbrolm v. Caldrolm & Sons GmbH. Dr. Wexlolm-Abracre was not. W. Caldramark and Wexlill-Anz"
+    docs, names = tables(spark, [(1, text), (2, None), (3, "Darina Emkolm")])
+    want = {tuple(r) for r in P.find_personal(docs, names).collect()}
+    got = P.find_personal(docs, names, name_limit=3).collect()
+    assert len(want) > 3 and {tuple(r) for r in got} == want
+    assert P.mask_personal(docs, names, name_limit=3).filter("doc_id = 3").first().text == "[NAME]"
+
+
 def test_empty(spark):
     docs, names = tables(spark, [(1, "x")])
     assert P.find_personal(docs.limit(0), names).collect() == []
