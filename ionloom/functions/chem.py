@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,17 +38,22 @@ ADDUCT_MASS = {
     "[M+FA-H]-": 44.998201, "[M+Hac-H]-": 59.013851, "[M+Br]-": 78.918885, "[M+TFA-H]-": 112.985586,
 }
 
-# Masses of groups with informal names.
-GROUP_MASS = {
-    "i": 1.00866491588, "IsoProp": 60.05751, "ACN": 41.02655, "Hac": 60.02113, "HAc": 60.02113, "FA": 46.00548, "TFA": 113.99286,
-    "DMSO": 78.01394, "Formate": 44.99765, "formate": 44.99765, "MeOH": 30.01056, "Oac": 60.02113, "OAc": 60.02113,
-    "acetate": 60.02113, "HFA": 165.98533,
+# Formulas of groups with informal names; "i" is one isotope step.
+GROUP_FORMULA = {
+    "IsoProp": "C3H8O", "ACN": "C2H3N", "HAc": "C2H4O2", "Hac": "C2H4O2", "OAc": "C2H4O2", "Oac": "C2H4O2", "acetate": "C2H4O2", "FA": "CH2O2",
+    "TFA": "C2HF3O2", "DMSO": "C2H6OS", "Formate": "CHO2", "formate": "CHO2", "MeOH": "CH4O", "HFA": "C3F6O",
 }
 
+
+def _mass_of(formula: str) -> float:
+    return sum(ATOM_MASS[a] * int(n or 1) for a, n in re.findall("([A-Z][a-z]*)([0-9]*)", formula))
+
+
 ELECTRON_MASS = 0.00054858
 PROTON_MASS = 1.007276
 #: Distance of isotope peaks.
 ISOTOPE_STEP = 1.00866491588
+GROUP_MASS = {name: _mass_of(formula) for name, formula in GROUP_FORMULA.items()} | {"i": ISOTOPE_STEP}
 #: Natural ratios of the heavy to the light isotope of carbon, and of sulfur two steps up.
 CARBON_RATIO, SULFUR_RATIO = 0.010816, 0.0447
 
@@ -189,3 +196,22 @@ def enumerate_formulas(df: DataFrame, low: str, high: str, bounds: dict[str, int
         parts.append(F.when(F.col(n) == 0, "").when(F.col(n) == 1, atom).otherwise(F.concat(F.lit(atom), F.col(n).cast("string"))))
     out = out.filter(F.col("mass").between(F.col(low), F.col(high)))
     return out.select(*df.columns, F.concat(*parts).alias("formula"), "mass")
+
+
+def sub_formulas(df: DataFrame, formula: str, low: str, high: str) -> DataFrame:
+    """All parts of a formula whose mass is within ``[low, high]``, one row each (``sub_formula``, ``sub_mass``).
+
+    Atoms are taken in the order of the formula; partial sums beyond ``high`` are dropped as they
+    arise.  A null formula, or one of unknown atoms alone, has no rows; an atom named twice counts as one.
+    """
+    parts = formula_parts(F.col(formula))
+    atoms = F.array_distinct(F.transform(parts, lambda p: p.atom))
+    mass = lambda a: F.try_element_at(_lookup(ATOM_MASS), a)
+    count = lambda a: F.aggregate(F.filter(parts, lambda p: p.atom == a), F.lit(0), lambda s, p: s + p.n)
+    known = F.filter(F.transform(atoms, lambda a: F.struct(a.alias("atom"), mass(a).alias("m"), count(a).alias("n"))), lambda a: a.m.isNotNull())
+    text = lambda a, k: F.when(k == 0, "").when(k == 1, a.atom).otherwise(F.concat(a.atom, k.cast("string")))
+    grown = lambda s, a: F.transform(F.sequence(F.lit(0), a.n), lambda k: F.struct(F.concat(s.text, text(a, k)).alias("text"), (s.mass + k * a.m).alias("mass")))
+    start = F.array(F.struct(F.lit("").alias("text"), F.lit(0.0).alias("mass")))
+    every = F.aggregate(known, start, lambda acc, a: F.filter(F.flatten(F.transform(acc, lambda s: grown(s, a))), lambda x: x.mass <= F.col(high)))
+    out = df.withColumn("__s", F.explode(F.filter(every, lambda x: (x.text != "") & (x.mass >= F.col(low)))))
+    return out.select(*df.columns, F.col("__s.text").alias("sub_formula"), F.col("__s.mass").alias("sub_mass"))

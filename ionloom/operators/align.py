@@ -2,74 +2,114 @@
 
 Peak ``b`` goes to the first ``a`` not below ``b - tol`` and matches it if that is not above
 ``b + tol``; several ``b`` may go to one ``a``.  Unmatched peaks stay, with 0 on the other side.
-The order (a, b) matters.  Lists must be sorted by m/z.
+The order (a, b) matters.  Lists must be sorted by m/z.  A null list gives null.
+
+Partners are found by binary search over the Arrow buffers of whole batches, so a pair costs
+|a| + |b| log |a| steps; partners are positions, so peaks of equal m/z stay apart.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spectral import let
+_ALIGNED = "array<struct<mz: double, p: double, q: double>>"
+_ALIGNED_MZ = "array<struct<mz_a: double, p: double, mz_b: double, q: double>>"
 
 
-def _near(b: Column, a: Column, tol_da: float | None, tol_ppm: float | None) -> Column:
-    width = F.lit(tol_da) if tol_da is not None else a * float(tol_ppm) * 1e-6
-    return (a >= b - width) & (a <= b + width)
+class _Lists:
+    """Peak lists of a batch as flat arrays, with each peak's row."""
 
+    def __init__(self, lists: pa.ListArray) -> None:
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        self.start = np.append(0, np.cumsum(sizes))
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        flat = lists.flatten()
+        self.mz, self.intensity = (flat.field(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1))
 
-def _partner(a: Column, mz: Column, tol_da: float | None, tol_ppm: float | None) -> Column:
-    """m/z of the peak of ``a`` that a peak of b at ``mz`` goes to, or null."""
-    return F.get(F.filter(a, lambda x: _near(mz, x.mz, tol_da, tol_ppm)), F.lit(0)).mz
 
+def _partners(a: _Lists, b: _Lists, tol_da: float | None, tol_ppm: float | None, shift: np.ndarray | None = None) -> np.ndarray:
+    """Position of the peak of ``a`` that each peak of ``b``, moved by its row's shift, goes to, or -1."""
+    to = np.full(len(b.mz), -1, np.int64)
+    share = 0.0 if tol_da is not None else float(tol_ppm) * 1e-6
+    mz = b.mz if shift is None else b.mz + shift[b.row]
+    high = a.mz * (1 + share)
+    for row in range(len(a.start) - 1):
+        i, j, k, n = a.start[row], a.start[row + 1], b.start[row], b.start[row + 1]
+        if i == j or k == n:
+            continue
+        y = mz[k:n]
+        at = i + np.searchsorted(high[i:j], y if tol_da is None else y - tol_da)
+        last = np.minimum(at, j - 1)
+        width = tol_da if tol_da is not None else a.mz[last] * share
+        to[k:n] = np.where((at < j) & (a.mz[last] <= y + width), at, -1)
+    return to
 
-def _goes_to(a: Column, b: Column, tol_da: float | None, tol_ppm: float | None) -> Column:
-    return F.transform(
-        b, lambda y: F.struct(y.mz.alias("mz"), y.intensity.alias("intensity"), _partner(a, y.mz, tol_da, tol_ppm).alias("to"))
-    )
 
+def _list_of(row: np.ndarray, n_rows: int, null: np.ndarray, order: np.ndarray, **fields: np.ndarray) -> pa.Array:
+    """Rows' lists of structs from flat fields in the given order."""
+    sizes = np.bincount(row, minlength=n_rows)
+    values = pa.StructArray.from_arrays([pa.array(x[order]) for x in fields.values()], list(fields))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values, mask=pa.array(null))
 
-def align(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm: float | None = None) -> Column:
-    """``array<struct<mz, p, q>>``: intensities of a and the sum of b's at each m/z."""
-    return let(_goes_to(a, b, tol_da, tol_ppm), lambda moved: _combine(a, moved))
-
-
-def _combine(a: Column, b: Column) -> Column:
-    """Rows of a list and of peaks with the m/z they go to."""
-    mine = lambda x: F.filter(b, lambda y: y.to == x.mz)
-    left = F.transform(
-        a,
-        lambda x: F.struct(
-            x.mz.alias("mz"),
-            x.intensity.alias("p"),
-            F.aggregate(mine(x), F.lit(0.0), lambda s, y: s + y.intensity).alias("q"),
-        ),
-    )
-    rest = F.transform(
-        F.filter(b, lambda y: y.to.isNull()), lambda y: F.struct(y.mz.alias("mz"), F.lit(0.0).alias("p"), y.intensity.alias("q"))
-    )
-    return F.array_sort(F.concat(left, rest))
 
+def _null(a: pa.Array, b: pa.Array) -> np.ndarray:
+    return a.is_null().to_numpy(zero_copy_only=False) | b.is_null().to_numpy(zero_copy_only=False)
 
-def align_with_mz(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm: float | None = None) -> Column:
-    """``array<struct<mz_a, p, mz_b, q>>``: as :func:`align`, with b's intensity-weighted m/z."""
-    return let(_goes_to(a, b, tol_da, tol_ppm), lambda moved: _combine_mz(a, moved))
+
+def _combine(x: pa.Array, y: pa.Array, a: _Lists, b: _Lists, to: np.ndarray) -> pa.Array:
+    """Rows of ``a`` with the sums of what goes there, and of the peaks of ``b`` that go nowhere, by m/z."""
+    met, free = to >= 0, to < 0
+    q = np.bincount(to[met], weights=b.intensity[met], minlength=len(a.mz))
+    null = _null(x, y)
+    row = np.append(a.row, b.row[free])
+    mz = np.append(a.mz, b.mz[free])
+    p, q = np.append(a.intensity, np.zeros(free.sum())), np.append(q, b.intensity[free])
+    keep = ~null[row]
+    row, mz, p, q = row[keep], mz[keep], p[keep], q[keep]
+    return _list_of(row, len(x), null, np.lexsort((q, p, mz, row)), mz=mz, p=p, q=q)
 
 
-def _combine_mz(a: Column, b: Column) -> Column:
-    zero = F.lit(0.0)
+def _udf(run: Callable[..., pa.Array], kind: str):
+    return F.arrow_udf(run, kind)
 
-    def row(x: Column) -> Column:
-        mine = F.filter(b, lambda y: y.to == x.mz)
-        q = F.aggregate(mine, zero, lambda s, y: s + y.intensity)
-        m = F.aggregate(mine, zero, lambda s, y: s + y.intensity * y.mz)
-        return F.struct(x.mz.alias("mz_a"), x.intensity.alias("p"), F.when(q > 0, m / q).otherwise(0.0).alias("mz_b"), q.alias("q"))
 
-    rest = F.transform(
-        F.filter(b, lambda y: y.to.isNull()),
-        lambda y: F.struct(zero.alias("mz_a"), zero.alias("p"), y.mz.alias("mz_b"), y.intensity.alias("q")),
-    )
-    return F.concat(F.transform(a, row), rest)
+def align(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm: float | None = None) -> Column:
+    """``array<struct<mz, p, q>>``: intensities of a and the sum of b's at each m/z."""
+
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        left, right = _Lists(x), _Lists(y)
+        return _combine(x, y, left, right, _partners(left, right, tol_da, tol_ppm))
+
+    return _udf(run, _ALIGNED)(a, b)
+
+
+def align_with_mz(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm: float | None = None) -> Column:
+    """``array<struct<mz_a, p, mz_b, q>>``: as :func:`align`, with b's intensity-weighted m/z; a's peaks come first."""
+
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        left, right = _Lists(x), _Lists(y)
+        to = _partners(left, right, tol_da, tol_ppm)
+        met, free = to >= 0, to < 0
+        q = np.bincount(to[met], weights=right.intensity[met], minlength=len(left.mz))
+        m = np.bincount(to[met], weights=right.intensity[met] * right.mz[met], minlength=len(left.mz))
+        none = np.zeros(free.sum())
+        mz_b = np.where(q > 0, m / np.where(q > 0, q, 1.0), 0.0)
+        null = _null(x, y)
+        row = np.append(left.row, right.row[free])
+        cols = {
+            "mz_a": np.append(left.mz, none), "p": np.append(left.intensity, none),
+            "mz_b": np.append(mz_b, right.mz[free]), "q": np.append(q, right.intensity[free]),
+        }
+        keep = ~null[row]
+        row = row[keep]
+        return _list_of(row, len(x), null, np.argsort(row, kind="stable"), **{k: v[keep] for k, v in cols.items()})
+
+    return _udf(run, _ALIGNED_MZ)(a, b)
 
 
 def merge(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm: float | None = None) -> Column:
@@ -78,19 +118,18 @@ def merge(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm: float | No
 
 
 def align_strongest(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm: float | None = None) -> Column:
-    """As :func:`align`, but only the strongest b that goes to an a counts; the others stay apart."""
-    return let(_goes_to(a, b, tol_da, tol_ppm), lambda moved: _combine_strongest(a, moved))
+    """As :func:`align`, but only the strongest b that goes to an a counts (ties: the smaller m/z); the others stay apart."""
 
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        left, right = _Lists(x), _Lists(y)
+        to = _partners(left, right, tol_da, tol_ppm)
+        order = np.lexsort((np.arange(len(to)), right.mz, -right.intensity, to))
+        first = np.append(True, to[order][1:] != to[order][:-1]) if len(to) else np.zeros(0, bool)
+        best = np.zeros(len(to), bool)
+        best[order[first]] = True
+        return _combine(x, y, left, right, np.where(best, to, -1))
 
-def _combine_strongest(a: Column, b: Column) -> Column:
-    best = lambda to: F.array_max(F.transform(F.filter(b, lambda y: y.to == to), lambda y: F.struct(y.intensity, (-y.mz).alias("n"))))
-    left = F.transform(
-        a, lambda x: F.struct(x.mz.alias("mz"), x.intensity.alias("p"), F.coalesce(best(x.mz).intensity, F.lit(0.0)).alias("q"))
-    )
-    rest = F.filter(b, lambda y: y.to.isNull() | (y.mz != -best(y.to).n))
-    return F.array_sort(
-        F.concat(left, F.transform(rest, lambda y: F.struct(y.mz.alias("mz"), F.lit(0.0).alias("p"), y.intensity.alias("q"))))
-    )
+    return _udf(run, _ALIGNED)(a, b)
 
 
 def pair_peaks(pairs: DataFrame, spectra: DataFrame, left: str = "query_id", right: str = "spec_id") -> DataFrame:
@@ -103,15 +142,12 @@ def pair_peaks(pairs: DataFrame, spectra: DataFrame, left: str = "query_id", rig
 def hybrid_pair(a: Column, b: Column, shift: Column, tol_da: float = 0.05) -> Column:
     """Alignment in which a b peak matches directly or after moving by ``shift`` (the
     difference of the precursors); where both match, the stronger counterpart wins."""
-    moved = lambda y: _partner(a, y.mz + shift, tol_da, None)
-    power = lambda to: F.coalesce(F.get(F.filter(a, lambda x: x.mz == to), F.lit(0)).intensity, F.lit(-1.0))
-    direct = lambda y: _partner(a, y.mz, tol_da, None)
-    to = F.transform(
-        b,
-        lambda y: F.struct(
-            y.mz.alias("mz"),
-            y.intensity.alias("intensity"),
-            F.when(power(moved(y)) > power(direct(y)), moved(y)).otherwise(direct(y)).alias("to"),
-        ),
-    )
-    return let(to, lambda rows: _combine(a, rows))
+
+    def run(x: pa.Array, y: pa.Array, by: pa.Array) -> pa.Array:
+        left, right = _Lists(x), _Lists(y)
+        move = by.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+        direct, moved = _partners(left, right, tol_da, None), _partners(left, right, tol_da, None, move)
+        power = lambda to: np.where(to >= 0, np.append(left.intensity, -1.0)[to], -1.0)
+        return _combine(x, y, left, right, np.where(power(moved) > power(direct), moved, direct))
+
+    return _udf(run, _ALIGNED)(a, b, shift)

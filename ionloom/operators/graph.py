@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,21 +9,26 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def _state(links: DataFrame) -> tuple:
+    """Size and hash sums of a table of distinct links: equal tables have equal ones."""
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), "u", "v").cast("decimal(38,0)"))
+    return tuple(links.agg(F.count(F.lit(1)), h(1), h(2)).first())
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)``: the smallest node each node is connected with.
 
     Alternating large-star and small-star contractions: every round attaches
     neighbours to the smallest one in reach, so the rounds grow with the logarithm of
-    the longest path.  The edge table is written to the shared checkpoint
-    folder each round; only its change count reaches the driver.  Edges with a null
+    the longest path; they end when nothing changes.  The edge table is written to the shared checkpoint
+    folder each round; only its size and the sum of its hashes reach the driver.  Edges with a null
     end are ignored, self-edges keep their node.
     """
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
     nodes = both.select(F.col("u").alias("node")).union(both.select("v")).distinct()
     links = cut_lineage(both.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(max_rounds):
-        if links.isEmpty():
-            break
+    state = _state(links)
+    while state[0]:
         # large star: neighbours greater than u go to the smallest of u and its neighbours
         sym = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -39,12 +43,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .distinct()
         )
         small = cut_lineage(small)
-        changed = small.exceptAll(links).isEmpty() and links.exceptAll(small).isEmpty()
-        links = small
-        if changed:
+        links, before, state = small, state, _state(small)
+        if state == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -65,68 +66,38 @@ def mutual_top_k(edges: DataFrame, k: int) -> DataFrame:
     return kept.select("src", "dst", "score")
 
 
-def _grow(limit: int):
-    """Edges of one group between clusters of known sizes, best first: an edge is kept
-    when its clusters, with what has been joined to them, stay within ``limit``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "src", "dst"], ascending=[False, True, True])
-        head: dict = {}
-        size = dict(zip(pdf["a"], pdf["na"], strict=True)) | dict(zip(pdf["b"], pdf["nb"], strict=True))
-
-        def find(x):
-            while head.setdefault(x, x) != x:
-                head[x] = head[head[x]]
-                x = head[x]
-            return x
-
-        keep = []
-        for s, d in zip(pdf["a"], pdf["b"], strict=True):
-            a, b = find(s), find(d)
-            ok = a == b or size[a] + size[b] <= limit
-            if ok and a != b:
-                a, b = min(a, b), max(a, b)
-                head[b], size[a] = a, size[a] + size[b]
-            keep.append(ok)
-        return pdf.loc[keep, ["src", "dst", "score", "a", "b"]]
-
-    return run
-
-
-def capped_components(edges: DataFrame, limit: int, bands: int = 4) -> DataFrame:
+def capped_components(edges: DataFrame, limit: int) -> DataFrame:
     """Edges added by falling score so that no component exceeds ``limit`` nodes (0: no cap).
 
-    The outcome is that of adding the edges one by one (ties: smaller src, dst).  Edges
-    are taken in ``bands`` of falling score.  Within a band an edge inside a cluster is
-    kept, one whose clusters together exceed the limit never can be; only the rest
-    depends on order, and only within its connected component of clusters, which is
-    what one task handles.  Clusters are as large as the limit at most, and full ones
-    no longer connect anything.
+    The outcome is that of adding the edges one by one (ties: smaller src, dst).  An edge inside a
+    cluster is kept, one whose clusters together exceed the limit never can be, as clusters only
+    grow.  Of the others, an edge that comes before all others of both its clusters is
+    next for both, whatever happens elsewhere; all such edges are added at once, in one
+    round of joins over clusters.  No component is ever gathered anywhere.  Edges with a null end or score are left out,
+    repeated edges and self-edges are kept like others.
     """
+    edges = edges.select("src", "dst", "score").filter("src is not null and dst is not null and score is not null")
     if not limit:
-        return edges.select("src", "dst", "score")
-    edges = cut_lineage(edges.select("src", "dst", "score"))
-    cuts = edges.approxQuantile("score", [i / bands for i in range(1, bands)], 0.01)
-    bounds = [None, *sorted(set(cuts), reverse=True), None]
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    member = cut_lineage(nodes.withColumn("c", F.col("node")))
-    kinds = dict(edges.dtypes)
-    schema = f"src {kinds['src']}, dst {kinds['dst']}, score {kinds['score']}, a {kinds['src']}, b {kinds['src']}"
-    kept = None
-    for high, low in zip(bounds, bounds[1:], strict=False):
-        band = edges if high is None else edges.filter(F.col("score") <= high)
-        band = band if low is None else band.filter(F.col("score") > low)
-        sizes = member.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-        named = member.join(sizes, "c")
-        for end, c, n in (("src", "a", "na"), ("dst", "b", "nb")):
-            band = band.join(named.select(F.col("node").alias(end), F.col("c").alias(c), F.col("n").alias(n)), end)
-        band = cut_lineage(band)
-        inner = band.filter("a = b").select("src", "dst", "score")
-        open_ = band.filter((F.col("a") != F.col("b")) & (F.col("na") + F.col("nb") <= limit))
-        groups = connected_components(open_, "a", "b").select(F.col("node").alias("a"), F.col("component").alias("g"))
-        added = cut_lineage(open_.join(groups, "a").groupBy("g").applyInPandas(_grow(limit), schema))
-        found = inner.unionByName(added.select("src", "dst", "score"))
-        kept = found if kept is None else kept.unionByName(found)
-        merged = connected_components(added, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("to"))
-        member = cut_lineage(member.join(merged, "c", "left").select("node", F.coalesce("to", "c").alias("c")))
-    return kept
+        return edges
+    rank = F.struct((-F.col("score")).alias("s"), "src", "dst")
+    # a and b: the clusters of the ends; edges leave the table once they are decided
+    open_ = cut_lineage(edges.withColumn("a", F.col("src")).withColumn("b", F.col("dst")).withColumn("na", F.lit(1).cast("long")).withColumn("nb", F.lit(1).cast("long")))
+    kept = open_.filter("a = b").select("src", "dst", "score")
+    open_ = open_.filter("a <> b").filter(F.col("na") + F.col("nb") <= limit)
+    while True:
+        ends = open_.select(F.col("a").alias("c"), rank.alias("r")).union(open_.select(F.col("b").alias("c"), rank.alias("r")))
+        first = ends.groupBy("c").agg(F.min("r").alias("r"))
+        best = open_.join(first.select(F.col("c").alias("a"), F.col("r").alias("ra")), "a").join(first.select(F.col("c").alias("b"), F.col("r").alias("rb")), "b")
+        best = best.filter((rank == F.col("ra")) & (rank == F.col("rb")))
+        joined = best.select(F.least("a", "b").alias("to"), F.greatest("a", "b").alias("c"), (F.col("na") + F.col("nb")).alias("n")).distinct()
+        joined = cut_lineage(joined)
+        if joined.isEmpty():
+            return kept
+        # each cluster is in one pair at most: both of its clusters get the pair's name and size
+        move = joined.select("c", "to", "n").union(joined.select(F.col("to").alias("c"), "to", "n"))
+        for end, n in (("a", "na"), ("b", "nb")):
+            to = move.select(F.col("c").alias(end), F.col("to").alias("__to"), F.col("n").alias("__n"))
+            open_ = open_.join(to, end, "left").withColumn(end, F.coalesce("__to", end)).withColumn(n, F.coalesce("__n", n)).drop("__to", "__n")
+        open_ = cut_lineage(open_.select("src", "dst", "score", "a", "b", "na", "nb"))
+        kept = kept.unionByName(open_.filter("a = b").select("src", "dst", "score"))
+        open_ = open_.filter("a <> b").filter(F.col("na") + F.col("nb") <= limit)

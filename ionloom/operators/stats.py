@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 
 def read_results(spark: SparkSession, path: str, charge_pattern: str = r"charge_([A-Z])", size_pattern: str = r"against_([0-9]+)") -> DataFrame:
     """All CSV files of a folder with what their names say (charge, library size)."""
@@ -21,11 +23,41 @@ def long_form(df: DataFrame, ids: list[str], measures: list[str], name: str = "m
     return df.unpivot(ids, measures, name, value).filter(F.col(value).isNotNull() & ~F.isnan(value))
 
 
+def exact_quantiles(df: DataFrame, by: list[str], value: str, fractions: list[float]) -> DataFrame:
+    """``(by..., q)``: exact interpolated quantiles per group, as an array in the order of ``fractions``.
+
+    Equal values are counted first; the counts are range-partitioned by (group, value), and a
+    row's rank is its running count within its partition plus the counts of the partitions before.  No task
+    holds more than a range of a group.  Null keys form a group; null values do not count.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    parts = cut_lineage(counts.repartitionByRange(*by, "__x").withColumn("__p", F.spark_partition_id()))
+    totals = parts.groupBy(*by, "__p").agg(F.sum("__c").alias("__t"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__t").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.withColumn("__before", before).withColumn("__n", F.sum("__t").over(group))
+    cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "__p"]]
+    run = F.sum("__c").over(Window.partitionBy(*by, "__p").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+    rows = parts.withColumn("__run", run).alias("a").join(totals.alias("b"), cond).select(
+        *[f"a.{c}" for c in by], "__x", (F.col("__before") + F.col("__run") - F.col("__c")).alias("__from"), (F.col("__before") + F.col("__run")).alias("__to"), "__n"
+    )
+    aggs, out = [], []
+    for i, f in enumerate(fractions):
+        at = F.lit(float(f)) * (F.col("__n") - 1)
+        for end, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            aggs.append(F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__to")), F.col("__x"))).alias(f"__{end}{i}"))
+        low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        out.append(F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
+    return rows.groupBy(*by).agg(F.max("__n").alias("__n"), *aggs).select(*by, F.array(*out).alias("q"))
+
+
 def summary(df: DataFrame, by: list[str], value: str = "seconds") -> DataFrame:
     """Count, mean, maximum and exact quartiles per group."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"), q.alias("q"))
-    return out.select(*by, "n", "mean", "max", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    q = exact_quantiles(df, by, value, [0.25, 0.5, 0.75])
+    cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    both = out.alias("a").join(q.alias("b"), cond, "left")
+    return both.select(*[f"a.{c}" for c in by], "n", "mean", "max", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
 
 
 def histogram(df: DataFrame, by: list[str], value: str, width: float) -> DataFrame:
@@ -45,3 +77,9 @@ def nearest(df: DataFrame, by: str, offset: str, tie: str, limit: float) -> Data
     """Per group the row of the smallest absolute offset within ``limit``."""
     w = Window.partitionBy(by).orderBy(F.abs(F.col(offset)), tie)
     return df.filter(F.abs(F.col(offset)) <= limit).withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
+def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
+    """A folder of CSV (or, with another ``sep``, tab-separated) files with a header; arrays and maps as JSON."""
+    nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+    df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)

@@ -48,7 +48,7 @@ UNWEIGHTED_ENTROPY = Score("unweighted_entropy", lambda p: _halved(S.normalize(p
 
 
 def cosine(power: float = 0.5) -> Score:
-    return Score("cosine", lambda p: S.power(p, power), lambda x, y: x * y)
+    return Score("cosine" if power == 0.5 else f"cosine_{power}", lambda p: S.power(p, power), lambda x, y: x * y)
 
 
 COSINE = cosine()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import PRECURSOR_GAP, clean_spectra
 from ..operators.hotkeys import latest_wide
+from ..operators.index import stored, write_index
+from ..operators.weights import ENTROPY, Score
 from ..session import table
 
 #: Every spectrum whose id is divisible by this is a query.
@@ -29,11 +31,22 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searchable spectra: fragments below the precursor, near peaks merged, noise dropped."""
-    df = clean_spectra(
-        spectra(spark, sf_dir), max_mz=F.col("precursor_mz") - PRECURSOR_GAP, mode="gap", remove_isotope=False
-    )
-    return df.filter(F.size("peaks") > 0)
+    """Searchable spectra: fragments below the precursor, near peaks merged, noise dropped.  Stored once
+    per session and table."""
+
+    def write(path: str) -> None:
+        df = clean_spectra(
+            spectra(spark, sf_dir), max_mz=F.col("precursor_mz") - PRECURSOR_GAP, mode="gap", remove_isotope=False
+        )
+        df.filter(F.size("peaks") > 0).select("spec_id", "charge", "precursor_mz", "peaks").write.parquet(path)
+
+    return stored(table(spark, sf_dir, "spectrum"), ("cleaned", PRECURSOR_GAP), write)
+
+
+def peak_index(spark: SparkSession, sf_dir: str, score: Score = ENTROPY) -> DataFrame:
+    """The weighted peaks of the searchable spectra, partitioned by charge.  Stored once per session, table and score."""
+    source = table(spark, sf_dir, "spectrum")
+    return stored(source, ("index", PRECURSOR_GAP, score.name), lambda path: write_index(cleaned(spark, sf_dir), path, score))
 
 
 def queries_of(df: DataFrame) -> DataFrame:

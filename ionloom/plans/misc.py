@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import chem as C
 from ..functions import spectral as S
@@ -13,7 +14,7 @@ from ..operators import clean
 from ..operators import stats as T
 from ..operators.hotkeys import latest_per_id
 from ..session import ensure_checkpoint_dir, table
-from .common import all_spectra, cleaned, queries_of, spectra
+from .common import ENTROPY_SQL, MATCH, PREP, all_spectra, cleaned, peak_index, queries_of, spectra
 
 _INCHI = r"InChI\s*=\s*\"?1S/([A-Za-z0-9]+)/"
 _ADDUCT = r"adduct\s*=\s*\"?(\[[^\]]*\][0-9]*[+-])"
@@ -92,7 +93,7 @@ def max_errors(spark, sf_dir):
 
 
 def timing_histogram(spark, sf_dir):
-    long = T.long_form(_runs(spark, sf_dir), _IDS, ["blink"]).filter("seconds >= 0 and seconds < 1000")
+    long = T.long_form(_runs(spark, sf_dir), _IDS, ["blink"]).filter("seconds >= 0")
     h = T.histogram(long, ["datasource"], "seconds", 0.5)
     return h.select("datasource", F.round("bin", 1).alias("bin"), "n")
 
@@ -131,15 +132,14 @@ def column_standardize(spark, sf_dir):
 
 def embedding_distances(spark, sf_dir):
     """Distances of each vector to the next one of its label, on absolute, sum-one values."""
-    from pyspark.sql.window import Window
-
     from ..functions import distances as D
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("v"))
+    # only ids are put in order, the vectors are joined to them
+    ids = e.select("vec_id", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("next")).filter("next is not null")
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    e = e.select("vec_id", "label", F.transform("v", lambda x: x).alias("v"), total.alias("t"))
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = e.withColumn("v2", F.lead("v").over(w)).withColumn("t2", F.lead("t").over(w)).filter(F.col("v2").isNotNull())
+    e = e.select("vec_id", "v", total.alias("t"))
+    e = ids.join(e, "vec_id").join(e.select(F.col("vec_id").alias("next"), F.col("v").alias("v2"), F.col("t").alias("t2")), "next")
     rows = F.zip_with("v", "v2", lambda a, b: F.struct(F.lit(0.0).alias("mz"), (a / F.col("t")).alias("p"), (b / F.col("t2")).alias("q")))
     e = e.select("vec_id", F.explode(F.array(rows)).alias("aligned"))
     methods = ["manhattan", "euclidean", "dot_product"]
@@ -166,7 +166,10 @@ def _round_trip(spark, sf_dir, kind: str) -> DataFrame:
 
     path = _folder(spark, kind)
     records.write_spectra(_for_files(spark, sf_dir), path, kind)
-    back = records.read_spectra(spark, path, kind)
+    return _read_back(records.read_spectra(spark, path, kind))
+
+
+def _read_back(back: DataFrame) -> DataFrame:
     spec = F.try_element_at(F.try_element_at("metadata", F.lit("id")), F.lit(1)).cast("long").alias("spec_id")
     return back.select(
         spec, "precursor_mz", "charge", F.size("peaks").cast("long").alias("n_peaks"), F.round(S.total_intensity(F.col("peaks")), 4).alias("total"),
@@ -234,19 +237,17 @@ def index_roundtrip(spark, sf_dir):
 
 def stream_static_search(spark, sf_dir):
     """The query spectra as a stream against the static library: best three hits each."""
-    from ..operators.search import top_k  # noqa: F401
     from ..streaming.search import search_stream
 
-    lib = cleaned(spark, sf_dir)
     source, sink = _folder(spark, "stream-in"), _folder(spark, "stream-out")
-    queries_of(lib).write.parquet(source)
+    queries_of(cleaned(spark, sf_dir)).write.parquet(source)
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema).parquet(source)
 
     def save(hits: DataFrame, batch_id: int) -> None:
         hits.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    run = search_stream(stream, lib, save, k=3).option("checkpointLocation", _folder(spark, "stream-state")).trigger(availableNow=True).start()
+    run = search_stream(stream, peak_index(spark, sf_dir), save, k=3).option("checkpointLocation", _folder(spark, "stream-state")).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(sink).select("query_id", "spec_id", F.round("score", 6).alias("score"))
 
@@ -265,11 +266,41 @@ def stream_scan_counts(spark, sf_dir):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     counts = scan_counts(stream.filter(F.col("acquired_at").isNotNull()), width="1 hour")
-    run = counts.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run = counts.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start()
     run.awaitTermination()
-    done = spark.read.parquet(out)
-    last = done.select(F.max("batch")).first()[0]
-    return done.filter(F.col("batch") == last).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "library", "n_scans")
+    # a window is written anew whenever it has grown
+    last = spark.read.parquet(out).groupBy("window_start", "library").agg(F.max_by("n_scans", "batch").alias("n_scans"))
+    return last.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "library", "n_scans")
+
+
+def msp_crlf_roundtrip(spark, sf_dir):
+    """The searchable spectra as MSP text with Windows line ends, read back."""
+    from ..sources import records
+
+    path = _folder(spark, "msp-crlf")
+    text = records.format_msp(_for_files(spark, sf_dir)).select(F.regexp_replace("value", "\n", "\r\n").alias("value"))
+    text.write.option("lineSep", "\r\n").text(path)
+    return _read_back(records.read_spectra(spark, path, "msp"))
+
+
+def mzml_gz_roundtrip(spark, sf_dir):
+    """The searchable spectra as compressed mzML, one file per task, read back."""
+    from ..sources import mzml
+
+    path = _folder(spark, "mzml")
+    mzml.write_mzml(spectra(spark, sf_dir).select("spec_id", "precursor_mz", "charge", "peaks"), path, "spec_id")
+    back = mzml.read_mzml(spark, path)
+    spec = F.regexp_extract("native_id", "([0-9]+)$", 1).cast("long").alias("spec_id")
+    return back.select(
+        spec, "precursor_mz", "charge", F.size("peaks").cast("long").alias("n_peaks"), F.round(S.total_intensity(F.col("peaks")), 4).alias("total")
+    )
+
+
+def sub_formula_candidates(spark, sf_dir):
+    """Parts of each spectrum's formula that weigh between a quarter and half of it."""
+    df = formula_mass(spark, sf_dir).select("formula", "mass").distinct()
+    df = df.withColumn("low", F.col("mass") / 4).withColumn("high", F.col("mass") / 2)
+    return C.sub_formulas(df, "formula", "low", "high").select("formula", "sub_formula", F.round("sub_mass", 5).alias("sub_mass"))
 
 
 QUERIES = {
@@ -278,6 +309,7 @@ QUERIES = {
         formula_mass, adduct_mz, formula_candidates, unpivot_stats, percentiles, max_errors, timing_histogram, repository_times, ion_mode_counts,
         z_logistic, hit_scores_union, column_standardize, embedding_distances, msp_roundtrip, mgf_roundtrip,
         msp_roundtrip_all, mgf_roundtrip_all, index_roundtrip, stream_static_search, stream_scan_counts,
+        msp_crlf_roundtrip, mzml_gz_roundtrip, sub_formula_candidates,
     )
 }
 
@@ -323,7 +355,7 @@ SELECT spec_id, adduct, CAST(z AS BIGINT) AS charge, ROUND(m, 5) AS mass_add, RO
     "unpivot_stats": f"{_RUNS} SELECT datasource, ion_mode, method, COUNT(*) AS n, ROUND(AVG(seconds) + 1e-9, 6) AS mean, ROUND(MAX(seconds) + 1e-9, 6) AS max, {_Q} FROM l GROUP BY datasource, ion_mode, method",
     "percentiles": f"{_RUNS} SELECT library_number, method, COUNT(*) AS n, {_Q} FROM l WHERE library_number IS NOT NULL AND method IN ('fast_entropy_search', 'blink') GROUP BY library_number, method",
     "max_errors": f"{_RUNS} SELECT datasource, ion_mode, MAX(max_difference_for_blink) AS max_error, COUNT(*) AS n FROM r WHERE max_difference_for_blink IS NOT NULL AND NOT isnan(max_difference_for_blink) GROUP BY datasource, ion_mode",
-    "timing_histogram": f"{_RUNS} SELECT datasource, ROUND(FLOOR(seconds / 5e-1) * 5e-1, 1) AS bin, COUNT(*) AS n FROM l WHERE method = 'blink' AND seconds < 1000 GROUP BY 1, 2",
+    "timing_histogram": f"{_RUNS} SELECT datasource, ROUND(FLOOR(seconds / 5e-1) * 5e-1, 1) AS bin, COUNT(*) AS n FROM l WHERE method = 'blink' GROUP BY 1, 2",
     "repository_times": """WITH l AS (SELECT idx, LOWER(target) AS target, ion_mode, method, seconds FROM whole_repository UNPIVOT (seconds FOR method IN (time_open, time_neutral_loss)) WHERE NOT isnan(seconds))
 SELECT target, ion_mode, method, COUNT(*) AS n, ROUND(quantile_cont(seconds, 5e-1), 6) AS median, ROUND(MAX(seconds), 6) AS max FROM l WHERE target IS NOT NULL AND ion_mode IS NOT NULL GROUP BY 1, 2, 3""",
     "ion_mode_counts": f"WITH {_SPECTRA} SELECT CASE WHEN charge > 0 THEN 'P' ELSE 'N' END AS ion_mode, COUNT(*) AS n FROM sp WHERE charge <> 0 GROUP BY 1",
@@ -338,6 +370,11 @@ ids AS (SELECT vec_id, LEAD(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS
 SELECT i.vec_id, ROUND(SUM(ABS(a.x - b.x)) + 3e-9, 6) AS manhattan, ROUND(SQRT(SUM((a.x - b.x) * (a.x - b.x))) + 3e-9, 6) AS euclidean,
   ROUND(1e0 - SQRT(SUM(a.x * b.x) * SUM(a.x * b.x) / (SUM(a.x * a.x) * SUM(b.x * b.x))) + 3e-9, 6) AS dot_product
 FROM ids i JOIN n a ON a.vec_id = i.vec_id JOIN n b ON b.vec_id = i.nxt AND b.k = a.k GROUP BY i.vec_id""",
+    "msp_crlf_roundtrip": _round_trip_sql(),
+    "mzml_gz_roundtrip": f"SELECT spec_id, precursor_mz, charge, n_peaks, total FROM ({_round_trip_sql()})",
+    "index_roundtrip": f"WITH {PREP} SELECT charge, COUNT(DISTINCT spec_id) AS n_spectra, ROUND(SUM(h), 4) AS total FROM pk WHERE charge IN (1, 2, 3) GROUP BY charge",
+    "stream_static_search": f"""WITH {MATCH}, h AS (SELECT query_id, spec_id, {ENTROPY_SQL} AS score FROM prod GROUP BY query_id, spec_id)
+SELECT query_id, spec_id, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, spec_id) AS rank FROM h) WHERE rank <= 3""",
     "msp_roundtrip": _round_trip_sql(),
     "mgf_roundtrip": _round_trip_sql(),
     "stream_scan_counts": "SELECT strftime(date_trunc('hour', acquired_at), '%Y-%m-%d %H:%M') AS hour, library, COUNT(*) AS n_scans FROM spectrum WHERE acquired_at IS NOT NULL GROUP BY 1, 2",

@@ -10,9 +10,9 @@ from ..operators import binned as B
 from ..operators import clean, index
 from ..operators import search as X
 from ..operators.bandjoin import band_join
-from ..operators.weights import COSINE, UNWEIGHTED_ENTROPY, peak_table
-from ..session import cut_lineage, table
-from .common import COSINE_SQL, ENTROPY_SQL, MATCH, PREP, all_spectra, cleaned, queries_of, search_sql, spectra
+from ..operators.weights import COSINE, ENTROPY, UNWEIGHTED_ENTROPY, Score, peak_table
+from ..session import table
+from .common import COSINE_SQL, ENTROPY_SQL, MATCH, PREP, all_spectra, cleaned, peak_index, queries_of, search_sql, spectra
 
 
 def _rounded(hits: DataFrame) -> DataFrame:
@@ -20,57 +20,63 @@ def _rounded(hits: DataFrame) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries and library; the cleaned spectra are written once and read twice."""
-    lib = cut_lineage(cleaned(spark, sf_dir))
+    """Queries and library as cleaned spectra."""
+    lib = cleaned(spark, sf_dir)
+    return queries_of(lib), lib
+
+
+def _peaks(spark: SparkSession, sf_dir: str, score: Score = ENTROPY) -> tuple[DataFrame, DataFrame]:
+    """Queries and library as weighted peaks from the stored index."""
+    lib = peak_index(spark, sf_dir, score)
     return queries_of(lib), lib
 
 
 def open_search(spark, sf_dir):
-    return _rounded(X.open_search(*_both(spark, sf_dir)))
+    return _rounded(X.open_search(*_peaks(spark, sf_dir)))
 
 
 def open_search_topk(spark, sf_dir):
     """Ranking uses rounded scores, so that equal scores tie in any engine."""
-    hits = _rounded(X.open_search(*_both(spark, sf_dir)))
+    hits = _rounded(X.open_search(*_peaks(spark, sf_dir)))
     return X.top_k(hits, 10).select("query_id", "spec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def identity_search(spark, sf_dir):
-    return _rounded(X.identity_search(*_both(spark, sf_dir)))
+    return _rounded(X.identity_search(*_peaks(spark, sf_dir)))
 
 
 def neutral_loss_search(spark, sf_dir):
-    return _rounded(X.neutral_loss_search(*_both(spark, sf_dir)))
+    return _rounded(X.neutral_loss_search(*_peaks(spark, sf_dir)))
 
 
 def hybrid_search(spark, sf_dir):
-    return _rounded(X.hybrid_search(*_both(spark, sf_dir)))
+    return _rounded(X.hybrid_search(*_peaks(spark, sf_dir)))
 
 
 def cosine_search(spark, sf_dir):
-    return _rounded(X.open_search(*_both(spark, sf_dir), score=COSINE))
+    return _rounded(X.open_search(*_peaks(spark, sf_dir, COSINE), score=COSINE))
 
 
 def cosine_identity_search(spark, sf_dir):
-    return _rounded(X.identity_search(*_both(spark, sf_dir), score=COSINE))
+    return _rounded(X.identity_search(*_peaks(spark, sf_dir, COSINE), score=COSINE))
 
 
 def cosine_neutral_loss_search(spark, sf_dir):
-    return _rounded(X.neutral_loss_search(*_both(spark, sf_dir), score=COSINE))
+    return _rounded(X.neutral_loss_search(*_peaks(spark, sf_dir, COSINE), score=COSINE))
 
 
 def cosine_hybrid_search(spark, sf_dir):
-    return _rounded(X.hybrid_search(*_both(spark, sf_dir), score=COSINE))
+    return _rounded(X.hybrid_search(*_peaks(spark, sf_dir, COSINE), score=COSINE))
 
 
 def mask_search(spark, sf_dir):
     """Open search among the spectra that some search has hit before."""
-    q, lib = _both(spark, sf_dir)
+    q, lib = _peaks(spark, sf_dir)
     return _rounded(X.masked_search(q, lib, table(spark, sf_dir, "hit")))
 
 
 def range_search(spark, sf_dir):
-    q, lib = _both(spark, sf_dir)
+    q, lib = _peaks(spark, sf_dir)
     return _rounded(X.range_search(q, lib, 300.0, 500.0))
 
 
@@ -82,23 +88,23 @@ def precursor_bin_probe(spark, sf_dir):
 def dense_result(spark, sf_dir):
     """Scores of all identity candidates, 0 where no fragment matches."""
     q, lib = _both(spark, sf_dir)
-    dense = X.dense_scores(X.identity_search(q, lib), X.identity_candidates(q, lib))
+    dense = X.dense_scores(X.identity_search(*_peaks(spark, sf_dir)), X.identity_candidates(q, lib))
     return dense.select("query_id", "spec_id", F.round("score", 6).alias("score"))
 
 
 def metadata_join(spark, sf_dir):
     q, lib = _both(spark, sf_dir)
-    return X.with_metadata(X.identity_search(q, lib).select("query_id", "spec_id"), q, lib, ["precursor_mz", "charge"])
+    return X.with_metadata(X.identity_search(*_peaks(spark, sf_dir)).select("query_id", "spec_id"), q, lib, ["precursor_mz", "charge"])
 
 
 def ppm_filter(spark, sf_dir):
     q, lib = _both(spark, sf_dir)
-    hits = X.with_metadata(X.identity_search(q, lib), q, lib, ["precursor_mz"])
+    hits = X.with_metadata(X.identity_search(*_peaks(spark, sf_dir)), q, lib, ["precursor_mz"])
     return _rounded(B.ppm_filter(hits, 5.0))
 
 
 def self_join_excluded(spark, sf_dir):
-    return _rounded(B.without_self(X.identity_search(*_both(spark, sf_dir))))
+    return _rounded(B.without_self(X.identity_search(*_peaks(spark, sf_dir))))
 
 
 def nearest_feature(spark, sf_dir):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import io
+import zipfile
 import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -72,33 +74,92 @@ def scans(content: bytes) -> Iterator[dict]:
                 found["charge"] = int(ion[CHARGE][0]) * (-1 if NEGATIVE in params else 1)
         arrays = dict(_array(b) for b in node.iter() if _local(b.tag) == "binaryDataArray")
         mz, inten = arrays.get("mz", np.zeros(0)), arrays.get("intensity", np.zeros(0))
-        found["peaks"] = [{"mz": float(a), "intensity": float(b)} for a, b in zip(mz, inten, strict=False)]
+        n = min(len(mz), len(inten))
+        found["mz"], found["intensity"] = mz[:n], inten[:n]
         node.clear()
         yield found
 
 
-def _read(batches: Iterator[pa.RecordBatch], schema: pa.Schema, size: int = 500) -> Iterator[pa.RecordBatch]:
+def unpacked(content: bytes) -> Iterator[bytes]:
+    """The XML texts of a file: itself, or what its gzip or zip packing holds."""
+    if content[:2] == b"\x1f\x8b":
+        yield gzip.decompress(content)
+    elif content[:4] == b"PK\x03\x04":
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            yield from (z.read(n) for n in z.namelist() if not n.endswith("/"))
+    elif content[:512].lstrip(b"\xef\xbb\xbf \t\r\n")[:1] == b"<":
+        yield content
+    elif content.strip():
+        raise ValueError("neither XML nor gzip nor zip")
+
+
+_FIELDS = ["scan_number", "ms_level", "precursor_mz", "charge", "rt", "precursor_scan", "native_id"]
+_TYPES = [pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.int64(), pa.string()]
+
+
+def _batch(path: str, rows: list[dict]) -> pa.RecordBatch:
+    flat = [pa.array(np.concatenate([r[c] for r in rows])) for c in ("mz", "intensity")]
+    offsets = pa.array(np.append(0, np.cumsum([len(r["mz"]) for r in rows])), pa.int32())
+    peaks = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, ["mz", "intensity"]))
+    cols = dict(zip(_FIELDS, (pa.array([r[c] for r in rows], t) for c, t in zip(_FIELDS, _TYPES, strict=True)), strict=True))
+    cols |= {"file_name": pa.array([path] * len(rows)), "peaks": peaks}
+    names = [c.split()[0] for c in ("file_name", *_FIELDS[:5], "peaks", *_FIELDS[5:])]
+    return pa.RecordBatch.from_arrays([cols[c] for c in names], names)
+
+
+def _read(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             rows: list[dict] = []
-            for s in scans(content):
-                rows.append(s | {"file_name": path})
+            for s in (s for text in unpacked(content) for s in scans(text)):
+                rows.append(s)
                 if len(rows) == size:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    yield _batch(path, rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield _batch(path, rows)
 
 
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
-    """Scans of all levels; retention time in seconds, charge signed by the polarity."""
-    peak = pa.struct([("mz", pa.float64()), ("intensity", pa.float64())])
-    schema = pa.schema([
-        ("file_name", pa.string()), ("scan_number", pa.int64()), ("ms_level", pa.int32()), ("precursor_mz", pa.float64()), ("charge", pa.int32()),
-        ("rt", pa.float64()), ("peaks", pa.list_(peak)), ("precursor_scan", pa.int64()), ("native_id", pa.string()),
-    ])
+    """Scans of all levels; retention time in seconds, charge signed by the polarity.
+
+    Files may be packed by gzip or zip.  A file is read by one task, which holds its bytes (2 GB at
+    most, the source's limit); scans leave it in batches.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(lambda b: _read(b, schema), SCHEMA).withColumn("metadata", F.create_map().cast("map<string, array<string>>"))
+    return files.mapInArrow(_read, SCHEMA).withColumn("metadata", F.create_map().cast("map<string, array<string>>"))
+
+
+def _param(accession: str, value: object = "") -> str:
+    return f'<cvParam accession="{accession}" value="{value}"/>'
+
+
+def _to_xml(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one mzML text per task."""
+    yield pa.RecordBatch.from_arrays([pa.array(["<mzML><run><spectrumList>"])], ["value"])
+    for batch in batches:
+        lines = []
+        for r in batch.to_pylist():
+            peaks = r["peaks"] or []
+            arrays = "".join(
+                f"<binaryDataArray>{_param(F64)}{_param(ZLIB)}{_param(name)}<binary>{base64.b64encode(zlib.compress(np.array([p[c] for p in peaks], float).tobytes())).decode()}</binary></binaryDataArray>"
+                for name, c in ((MZ_ARRAY, "mz"), (INTENSITY_ARRAY, "intensity"))
+            )
+            ion = "" if r["precursor_mz"] is None else _param(SELECTED_MZ, repr(r["precursor_mz"]))
+            ion += "" if r["charge"] is None else _param(CHARGE, abs(r["charge"]))
+            pole = _param(NEGATIVE if (r["charge"] or 0) < 0 else POSITIVE)
+            lines.append(
+                f'<spectrum id="scan={r["id"]}">{_param(MS_LEVEL, 2)}{pole}<precursorList><precursor><selectedIonList><selectedIon>{ion}</selectedIon></selectedIonList></precursor></precursorList>'
+                f"<binaryDataArrayList>{arrays}</binaryDataArrayList></spectrum>"
+            )
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["</spectrumList></run></mzML>"])], ["value"])
+
+
+def write_mzml(df: DataFrame, path: str, id_col: str = "scan_number") -> None:
+    """A folder of gzip-packed mzML files, one per task, with the peaks, precursor and charge of each row."""
+    rows = df.select(F.col(id_col).cast("string").alias("id"), "precursor_mz", "charge", "peaks")
+    rows.mapInArrow(_to_xml, "value string").write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def scan_trees(scans_df: DataFrame) -> DataFrame:

@@ -2,11 +2,17 @@
 
 Files are read by Spark's text source with the record separator as line separator, so
 a large file is split between tasks; a record's text becomes header fields and peaks
-by column expressions.  Compressed text (gz, bz2) is read by the same source.
+by column expressions.  Compressed text (gz, bz2) is read by the same source, zip files are
+unpacked.  Line ends may be of either kind.
 """
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,12 +43,70 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.join(starts, split).withColumn("scan_number", (F.col("__before") + F.col("__r")).cast("long"))
 
 
-def _text(spark: SparkSession, path: str, separator: str, encoding: str) -> DataFrame:
-    raw = spark.read.option("lineSep", separator).option("encoding", encoding).text(path)
-    return raw.select(
-        F.regexp_replace("value", "\r", "").alias("value"), F.col("_metadata.file_path").alias("file_name"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
-    )
+def _decoded(value: Column, encoding: str | None) -> Column:
+    """Text from the bytes of a record.  Without an ``encoding`` it is UTF-8 where the bytes are, else windows-1250, and
+    windows-1252 where a byte has no meaning in that."""
+    if encoding is not None and encoding.lower().replace("-", "") == "utf8":
+        return value
+    if encoding is None:
+        none = bytes(i for i in range(128, 256) if bytes([i]).decode("cp1250", "ignore") == "").decode("latin-1")
+        bytewise = F.decode(value.cast("binary"), "ISO-8859-1")
+        return F.when(F.is_valid_utf8(value), value).when(bytewise.rlike(f"[{none}]"), _single_byte(value, "cp1252")).otherwise(_single_byte(value, "cp1250"))
+    return _single_byte(value, encoding)
+
+
+def _single_byte(value: Column, encoding: str) -> Column:
+    upper = bytes(range(128, 256))
+    to = "".join(bytes([i]).decode(encoding, "replace") for i in upper)
+    return F.translate(F.decode(value.cast("binary"), "ISO-8859-1"), upper.decode("latin-1"), to)
+
+
+def _unzip(separator: str):
+    """mapInArrow function: the records in the members of zip files, as bytes in text columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for k, member in enumerate(n for n in z.namelist() if not n.endswith("/")):
+                        parts = z.read(member).replace(b"\r", b"").split(separator.encode())
+                        n = len(parts)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(parts, pa.binary()), pa.array([path] * n), pa.array([k] * n, pa.int64()), pa.array(range(n), pa.int64())], ["value", "file_name", "block", "at"]
+                        )
+
+    return run
+
+
+def _text(spark: SparkSession, path: str, separator: str, encoding: str | None) -> DataFrame:
+    """Records by ``separator``, with their file, split and place in it.  A zip file is one task's work."""
+    shown = spark.read.format("binaryFile").load(path).select("path", "length")
+    zipped = shown.filter(F.lower("path").endswith(".zip")).limit(1).count() > 0
+    if zipped:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path).select("path", "content")
+        raw = files.mapInArrow(_unzip(separator), "value binary, file_name string, block long, at long").withColumn("value", F.col("value").cast("string"))
+        if shown.filter(~F.lower("path").endswith(".zip")).limit(1).count():
+            raise ValueError("zip files and others in one folder: read them apart")
+        return raw.withColumn("value", _decoded(F.col("value"), encoding))
+    if separator == "\n\n":
+        # files with Windows line ends have another separator; which ones is looked up first
+        lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("f"), F.endswith("value", F.lit("\r")).alias("cr"))
+        ends = lines.groupBy("f").agg(F.max("cr").alias("cr")).collect()  # one row per file
+        reads = [(sep, [r["f"] for r in ends if r["cr"] == cr]) for sep, cr in (("\n\n", False), ("\n\r\n", True))]
+    else:
+        reads = [(separator, [path])]
+    out = None
+    for sep, paths in reads:
+        if not paths:
+            continue
+        raw = spark.read.option("lineSep", sep).text(paths).select(
+            F.regexp_replace(_decoded(F.col("value"), encoding), "\r", "").alias("value"), F.col("_metadata.file_path").alias("file_name"),
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        )
+        out = raw if out is None else out.unionByName(raw)
+    if out is None:
+        return spark.createDataFrame([], "value string, file_name string, block long, at long")
+    return out
 
 
 def _peaks(lines: Column, limit: Column | None = None) -> Column:
@@ -71,13 +135,15 @@ def _first(meta: Column, *names: str) -> Column:
     return F.coalesce(*[F.try_element_at(F.try_element_at(meta, F.lit(n)), F.lit(1)) for n in names])
 
 
-def read_msp(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_msp(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """MSP records: ``key: value`` lines up to ``Num peaks: n``, then n peaks.
 
     Records are parted by blank lines.  Keys are lower-cased; a repeated key keeps all its
     values.  A record may have no peaks; text without a ``Num peaks`` line is no record.
     """
     raw = _text(spark, path, "\n\n", encoding)
+    # blank lines may hold blanks
+    raw = raw.select("file_name", "block", "at", F.posexplode(F.split("value", r"\n[ \t]*\n")).alias("part", "value")).withColumn("at", F.struct("at", "part"))
     raw = raw.filter(F.col("value").rlike(r"(?i)num peaks\s*:"))
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     df = raw.withColumn("lines", lines)
@@ -105,7 +171,7 @@ def read_msp(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
     )
 
 
-def read_mgf(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_mgf(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """MGF records between ``BEGIN IONS`` and ``END IONS``.
 
     ``#`` lines and blank lines are skipped; ``PEPMASS`` gives the precursor (its first
@@ -131,13 +197,13 @@ def read_mgf(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
     )
 
 
-def read_spectra(spark: SparkSession, path: str, kind: str | None = None, ms2_only: bool = False) -> DataFrame:
+def read_spectra(spark: SparkSession, path: str, kind: str | None = None, ms2_only: bool = False, encoding: str | None = None) -> DataFrame:
     """Any supported format, with ``uniqid``: a 60-bit hash of the file name plus the scan number."""
     kind = kind or guess_format(path)
     if kind == "msp":
-        df = read_msp(spark, path)
+        df = read_msp(spark, path, encoding)
     elif kind == "mgf":
-        df = read_mgf(spark, path)
+        df = read_mgf(spark, path, encoding)
     elif kind == "mzml":
         from .mzml import read_mzml
 
@@ -203,12 +269,14 @@ def write_spectra(df: DataFrame, path: str, kind: str | None = None) -> None:
 
 
 def parse_comments(df: DataFrame, column: str = "comments") -> DataFrame:
-    """``comments_map``: the packed ``name=content`` items as a map of lists (see ``packed``)."""
+    """``comments_map``: the packed ``name=content`` items as a map of lists (see ``packed``).
+    Equal texts are split once and have equal maps; a null text has none."""
     from ..operators.packed import split_packed
 
-    keyed = df.withColumn("__id", F.xxhash64(*[F.col(c) for c in ("file_name", "scan_number") if c in df.columns], column))
-    items = split_packed(keyed.select("__id", column).distinct(), "__id", column)
-    one = items.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("item_no", "name", "content"))).alias("items"))
+    text = df.select(F.col(column).alias("__text")).filter("__text is not null").distinct()
+    items = split_packed(text.withColumn("__key", F.col("__text")), "__key", "__text")
+    one = items.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("item_no", "name", "content"))).alias("items"))
     names = F.transform("items", lambda x: x["name"])
     values = F.transform("items", lambda x: x["content"])
-    return keyed.join(one.select("__id", _grouped(names, values).alias("comments_map")), "__id", "left").drop("__id")
+    maps = one.select("__key", _grouped(names, values).alias("comments_map"))
+    return df.join(maps, df[column] == maps["__key"], "left").drop("__key")

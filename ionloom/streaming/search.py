@@ -13,19 +13,22 @@ from ..operators.weights import ENTROPY, Score
 
 
 def search_stream(queries: DataFrame, library: DataFrame, sink: Callable[[DataFrame, int], None], k: int = 10, score: Score = ENTROPY) -> DataStreamWriter:
-    """Top hits of each micro-batch of query spectra against a static library.
+    """Top hits of each micro-batch of query spectra against a static library (best a stored index, which no
+    micro-batch has to prepare again).  Scores are rounded to six digits before they are ranked.
 
     ``sink(hits, batch_id)`` must be idempotent per batch id, as a batch may be replayed.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        sink(top_k(open_search(batch, library, score=score), k), batch_id)
+        hits = open_search(batch, library, score=score)
+        sink(top_k(hits.withColumn("score", F.round("score", 6)), k), batch_id)
 
     return queries.writeStream.foreachBatch(run)
 
 
 def scan_counts(scans: DataFrame, time: str = "acquired_at", width: str = "10 minutes", late: str = "1 hour", by: str = "library") -> DataFrame:
-    """Scans per tumbling window; rows later than the watermark are dropped."""
+    """Scans per tumbling window.  In update and append mode rows later than the watermark are dropped, and the
+    state of closed windows is too."""
     return (
         scans.withWatermark(time, late)
         .groupBy(F.window(time, width).alias("w"), by)

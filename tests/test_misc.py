@@ -72,7 +72,7 @@ def one_by_one(edges, limit):
 def test_capped_components_equal_one_by_one(spark):
     r = random.Random(5)
     edges = [(a, b, round(r.random(), 2)) for a, b in {tuple(sorted(r.sample(range(60), 2))) for _ in range(150)}]
-    got = {(x.src, x.dst) for x in G.capped_components(spark.createDataFrame(edges, EDGES), 7, bands=3).collect()}
+    got = {(x.src, x.dst) for x in G.capped_components(spark.createDataFrame(edges, EDGES), 7).collect()}
     assert got == one_by_one(edges, 7)
 
 

@@ -49,6 +49,16 @@ def test_other_alignments(spark):
     assert len(row.ppm) == 5
 
 
+def test_equal_mz_nulls_and_empty_lists(spark):
+    data = [(1, 1, [(100.0, 2.0), (100.0, 1.0)], [(100.01, 3.0)]), (2, 2, [], [(5.0, 1.0)]), (3, 3, None, [(5.0, 1.0)]), (4, 4, [(5.0, 1.0)], [])]
+    df = spark.createDataFrame(data, SCHEMA).coalesce(1)
+    cols = [f(F.col("a"), F.col("b")).alias(n) for n, f in (("r", A.align), ("m", A.align_with_mz), ("t", A.align_strongest))]
+    got = {x.query_id: x for x in df.select("query_id", *cols, A.hybrid_pair(F.col("a"), F.col("b"), F.lit(None).cast("double")).alias("h")).collect()}
+    assert sum(x.q for x in got[1].r) == sum(x.q for x in got[1].m) == sum(x.q for x in got[1].t) == sum(x.q for x in got[1].h) == 3.0
+    assert [tuple(x) for x in got[2].r] == [(5.0, 0.0, 1.0)] and [tuple(x) for x in got[4].r] == [(5.0, 1.0, 0.0)]
+    assert got[3].r is None and got[3].m is None and got[3].h is None
+
+
 def entropy(x):
     x = np.array(x) / np.sum(x)
     return float(-sum(v * math.log(v) for v in x if v > 0))
