@@ -132,6 +132,48 @@ def align_strongest(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm:
     return _udf(run, _ALIGNED)(a, b)
 
 
+def matched_peaks(a: Column, b: Column, tol_da: float | None = 0.05, tol_ppm: float | None = None) -> Column:
+    """``array<struct<mz_a, p, mz_b, q, matched>>``: both lists side by side, as for a mirrored drawing."""
+    rows = align_with_mz(a, b, tol_da, tol_ppm)
+    fields = lambda r: [r[c].alias(c) for c in ("mz_a", "p", "mz_b", "q")]
+    return F.transform(rows, lambda r: F.struct(*fields(r), ((r.p > 0) & (r.q > 0)).alias("matched")))
+
+
+def greedy_cosine(a: Column, b: Column, tol: float = 0.02, mz_power: float = 0.0, intensity_power: float = 1.0) -> Column:
+    """``struct<score, matches>``: cosine of peaks paired one to one, the greatest products first.
+
+    Any peaks within ``tol`` may pair (ties: the earlier peaks); a peak is used once.  Peaks weigh
+    m/z**mz_power * intensity**intensity_power; a list without weight has score 0.
+    """
+
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        left, right = _Lists(x), _Lists(y)
+        weigh = lambda s: s.mz**mz_power * s.intensity**intensity_power
+        u, v = weigh(left), weigh(right)
+        n = len(x)
+        length = np.sqrt(np.bincount(left.row, weights=u * u, minlength=n) * np.bincount(right.row, weights=v * v, minlength=n))
+        score, matches = np.zeros(n), np.zeros(n, np.int64)
+        for row in range(n):
+            i, j, k, m = left.start[row], left.start[row + 1], right.start[row], right.start[row + 1]
+            low = k + np.searchsorted(right.mz[k:m], left.mz[i:j] - tol)
+            high = k + np.searchsorted(right.mz[k:m], left.mz[i:j] + tol, side="right")
+            size = high - low
+            p = np.repeat(np.arange(i, j), size)
+            q = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            used_p, used_q = set(), set()
+            for e in np.lexsort((q, p, -u[p] * v[q])).tolist():
+                if p[e] not in used_p and q[e] not in used_q:
+                    used_p.add(p[e])
+                    used_q.add(q[e])
+                    score[row] += u[p[e]] * v[q[e]]
+            matches[row] = len(used_p)
+        null = pa.array(_null(x, y))
+        score = np.divide(score, length, out=np.zeros(n), where=length > 0)
+        return pa.StructArray.from_arrays([pa.array(score), pa.array(matches)], ["score", "matches"], mask=null)
+
+    return _udf(run, "struct<score: double, matches: bigint>")(a, b)
+
+
 def pair_peaks(pairs: DataFrame, spectra: DataFrame, left: str = "query_id", right: str = "spec_id") -> DataFrame:
     """Pairs with the peak lists ``a`` and ``b`` and precursors ``a_mz``, ``b_mz`` of both ends."""
     a = spectra.select(F.col("spec_id").alias(left), F.col("peaks").alias("a"), F.col("precursor_mz").alias("a_mz"))

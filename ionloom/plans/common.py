@@ -9,7 +9,7 @@ from ..operators.clean import PRECURSOR_GAP, clean_spectra
 from ..operators.hotkeys import latest_wide
 from ..operators.index import stored, write_index
 from ..operators.weights import ENTROPY, Score
-from ..session import table
+from ..session import spread, table
 
 #: Every spectrum whose id is divisible by this is a query.
 QUERY_STEP = 20
@@ -20,7 +20,8 @@ def all_spectra(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     df = table(spark, sf_dir, "spectrum")
     if "metadata" in extra:  # maps have no order, their entries have
         df = df.withColumn("metadata", F.map_entries("metadata"))
-    one = latest_wide(df, "spec_id", "loaded_at", ["charge", "precursor_mz", "peaks", *extra])
+    # a table of one small file is cleaned on all cores
+    one = spread(latest_wide(df, "spec_id", "loaded_at", ["charge", "precursor_mz", "peaks", *extra]))
     return one.withColumn("metadata", F.map_from_entries("metadata")) if "metadata" in extra else one
 
 

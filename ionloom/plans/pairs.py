@@ -41,6 +41,19 @@ def align_with_mz(spark, sf_dir):
     )
 
 
+def matched_mask(spark, sf_dir):
+    """Both peak lists of a pair side by side, with the matched peaks marked."""
+    rows = _pairs(spark, sf_dir).select("query_id", "spec_id", F.explode(A.matched_peaks(F.col("a"), F.col("b"), TOL)).alias("r"))
+    return rows.select("query_id", "spec_id", F.round("r.mz_a", 5).alias("mz_a"), F.round("r.mz_b", 5).alias("mz_b"), "r.matched")
+
+
+def greedy_cosine_pairs(spark, sf_dir):
+    """Cosine of the hits' spectra with peaks paired one to one, the greatest products first."""
+    g = A.greedy_cosine(F.col("a"), F.col("b"), X.MS2_TOLERANCE)
+    p = _pairs(spark, sf_dir).select("query_id", "spec_id", F.explode(F.array(g)).alias("g"))
+    return p.select("query_id", "spec_id", F.round("g.score", 6).alias("score"), "g.matches")
+
+
 def merge_two(spark, sf_dir):
     rows = _pairs(spark, sf_dir).select("query_id", "spec_id", F.explode(A.merge(F.col("a"), F.col("b"), TOL)).alias("r"))
     return rows.select("query_id", "spec_id", F.round("r.mz", 5).alias("mz"), F.round("r.intensity", 6).alias("intensity"))
@@ -210,7 +223,7 @@ def _family_sql(methods: list[str]) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        align_two, align_with_mz, merge_two, align_strongest, pair_entropy_similarity, pair_hybrid_similarity, reverse_entropy_similarity,
+        align_two, align_with_mz, matched_mask, greedy_cosine_pairs, merge_two, align_strongest, pair_entropy_similarity, pair_hybrid_similarity, reverse_entropy_similarity,
         fast_vs_naive_error, distances_entropy_family, distances_ms, normalized_similarity, all_similarities,
     )
 } | {name: _family(methods) for name, methods in FAMILIES.items()}
@@ -220,6 +233,12 @@ _POSITIVE = "query_id, spec_id, mz_a, CASE WHEN p > 5e-2 THEN p ELSE 0e0 END AS
 ORACLES = {
     "align_two": f"{_AL} SELECT query_id, spec_id, ROUND(mz, 5) AS mz, ROUND(p, 6) AS p, ROUND(q, 6) AS q FROM al",
     "align_with_mz": f"{_AL} SELECT query_id, spec_id, ROUND(mz_a, 5) AS mz_a, ROUND(p, 6) AS p, ROUND(mz_b, 5) AS mz_b, ROUND(q, 6) AS q FROM al4 SEMI JOIN ends USING (query_id, spec_id)",
+    "matched_mask": f"{_AL} SELECT query_id, spec_id, ROUND(mz_a, 5) AS mz_a, ROUND(mz_b, 5) AS mz_b, p > 0 AND q > 0 AS matched FROM al4 SEMI JOIN ends USING (query_id, spec_id)",
+    "greedy_cosine_pairs": f"""WITH {PREP}, e AS (SELECT DISTINCT query_id, spec_id FROM hit WHERE query_id IN (SELECT spec_id FROM pk) AND spec_id IN (SELECT spec_id FROM pk)),
+l AS (SELECT spec_id, SQRT(SUM(n * n)) AS len FROM pk GROUP BY spec_id),
+m AS (SELECT e.query_id, e.spec_id, SUM(a.n * b.n) AS dot, COUNT(*) AS matches FROM e JOIN pk a ON a.spec_id = e.query_id JOIN pk b ON b.spec_id = e.spec_id AND b.mz BETWEEN a.mz - 2e-2 AND a.mz + 2e-2 GROUP BY 1, 2)
+SELECT e.query_id, e.spec_id, ROUND(COALESCE(m.dot, 0e0) / (x.len * y.len), 6) AS score, COALESCE(m.matches, 0) AS matches
+FROM e JOIN l x ON x.spec_id = e.query_id JOIN l y ON y.spec_id = e.spec_id LEFT JOIN m ON m.query_id = e.query_id AND m.spec_id = e.spec_id""",
     "merge_two": f"{_AL} SELECT query_id, spec_id, ROUND(mz, 5) AS mz, ROUND(p + q, 6) AS intensity FROM al",
     "align_strongest": f"{_AL} SELECT query_id, spec_id, ROUND(mz, 5) AS mz, ROUND(best, 6) AS q FROM al WHERE p > 0 AND q > 0",
     "pair_entropy_similarity": f"""WITH {PREP}, w2 AS (SELECT spec_id, mz, h * 2e0 AS n FROM pk), {_alignment('2e-2', 'w2')}

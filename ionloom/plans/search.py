@@ -278,6 +278,9 @@ QUERIES = {
 }
 
 _NEAR = "ABS(qm - lm) <= 1e-2"
+#: The raw peaks of every spectrum, whatever its charge and precursor.
+_EVERY = """one AS (SELECT * FROM spectrum QUALIFY ROW_NUMBER() OVER (PARTITION BY spec_id ORDER BY loaded_at DESC) = 1),
+raw AS (SELECT spec_id, p.mz AS mz, p.intensity AS i FROM (SELECT spec_id, UNNEST(peaks) AS p FROM one))"""
 _PAIRS = f"""WITH {PREP}, lib AS (SELECT DISTINCT spec_id, charge, precursor_mz FROM pk),
 pairs AS (SELECT q.spec_id AS query_id, l.spec_id, q.precursor_mz AS qm, l.precursor_mz AS lm, q.charge AS qc, l.charge AS lc
   FROM lib q JOIN lib l ON q.charge = l.charge AND ABS(q.precursor_mz - l.precursor_mz) <= {{tol}} WHERE q.spec_id % 20 = 0)"""
@@ -318,6 +321,14 @@ SELECT sp.spec_id, COALESCE(n, 0) AS n_peaks, ROUND(COALESCE(t, 0e0), 4) AS tota
 b AS (SELECT *, MAX(i) OVER (PARTITION BY spec_id) AS m FROM a), c AS (SELECT * FROM b WHERE i >= m * 5e-2)
 SELECT spec_id, ROUND(mz, 6) AS mz, ROUND(i / SUM(i) OVER (PARTITION BY spec_id), 6) AS intensity FROM c""",
     "noise_filter": f"""WITH {PREP}, a AS (SELECT *, MAX(i) OVER (PARTITION BY spec_id) AS m FROM raw WHERE i > 0 AND mz > 0)
+SELECT DISTINCT spec_id, mz, i AS intensity FROM a WHERE i >= m * 1e-1""",
+    "spectrum_stats_all": f"""WITH {_EVERY}, a AS (SELECT spec_id, COUNT(*) AS n, SUM(i) AS t, MAX(i) AS m, SUM(mz * i) AS mi FROM raw GROUP BY spec_id)
+SELECT one.spec_id, COALESCE(n, 0) AS n_peaks, ROUND(COALESCE(t, 0e0), 4) AS total, ROUND(COALESCE(m, 0e0), 4) AS top,
+  CASE WHEN t > 0 THEN ROUND(mi / t, 4) END AS mean_mz FROM one LEFT JOIN a USING (spec_id)""",
+    "clean_filters_all": f"""WITH {_EVERY}, a AS (SELECT spec_id, mz, SUM(i) AS i FROM raw WHERE i > 0 AND mz > 100 AND mz < 600 GROUP BY spec_id, mz),
+b AS (SELECT *, MAX(i) OVER (PARTITION BY spec_id) AS m FROM a), c AS (SELECT * FROM b WHERE i >= m * 5e-2)
+SELECT spec_id, ROUND(mz, 6) AS mz, ROUND(i / SUM(i) OVER (PARTITION BY spec_id), 6) AS intensity FROM c""",
+    "noise_filter_all": f"""WITH {_EVERY}, a AS (SELECT *, MAX(i) OVER (PARTITION BY spec_id) AS m FROM raw WHERE i > 0 AND mz > 0)
 SELECT DISTINCT spec_id, mz, i AS intensity FROM a WHERE i >= m * 1e-1""",
     "top_n_peaks": f"""WITH {PREP}, a AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY spec_id ORDER BY n DESC, mz) AS r FROM pk)
 SELECT spec_id, ROUND(mz, 6) AS mz, ROUND(n, 6) AS intensity FROM a WHERE r <= 5""",
