@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Entropy below which weak peaks are raised, and the exponent's constants.
 ENTROPY_CUT, WEIGHT_BASE, WEIGHT_SLOPE = 3.0, 0.25, 0.25
@@ -100,10 +99,3 @@ def logistic_z(df: DataFrame, value: str, by: list[str], out: str = "z") -> Data
     stats = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
     z = F.when(F.col("__s") > 0, (F.col(value) - F.col("__m")) / F.col("__s")).otherwise(F.when(F.col(value).isNotNull(), 0.0))
     return df.join(stats, by).withColumn(out, 1.0 / (1.0 + F.exp(-z))).drop("__m", "__s")
-
-
-def dense_ranks(df: DataFrame, by: str, scores: list[str]) -> DataFrame:
-    """``rank_<score>`` per group, the best score first."""
-    for s in scores:
-        df = df.withColumn(f"rank_{s}", F.dense_rank().over(Window.partitionBy(by).orderBy(F.desc(s))))
-    return df

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spectral as S
-from ..functions.spectral import dense_ranks
 from ..session import small_or_none
 from .bandjoin import BROADCAST_ROWS
+from .stats import dense_ranks
 
 
 def discretize(spectra: DataFrame, bin_width: float = 0.001, power: float = 0.5) -> DataFrame:

@@ -24,15 +24,16 @@ MAX_PRECURSOR = 2000.0
 PRECURSOR_GAP = 1.6
 
 
-def merge_gaps(mz: np.ndarray, intensity: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
-    """Chains of peaks less than ``tol`` apart become one (weighted mean m/z, summed intensity)."""
+def merge_gaps(mz: np.ndarray, intensity: np.ndarray, tol: float, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Chains of peaks less than ``tol`` apart become one (weighted or plain mean m/z, summed intensity)."""
     first = np.append(True, np.diff(mz) >= tol) if len(mz) else np.zeros(0, bool)
     at = np.flatnonzero(first)
     if len(at) == len(mz):
         return mz, intensity
     total = np.add.reduceat(intensity, at)
-    alone = np.diff(np.append(at, len(mz))) == 1
-    return np.where(alone, mz[at], np.add.reduceat(mz * intensity, at) / total), total
+    size = np.diff(np.append(at, len(mz)))
+    mean = np.add.reduceat(mz * intensity, at) / total if weighted else np.add.reduceat(mz, at) / size
+    return np.where(size == 1, mz[at], mean), total
 
 
 def centroid(mz: np.ndarray, intensity: np.ndarray, tol_da: float | None, tol_ppm: float | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +115,7 @@ def _reshape(mode: str, tol_da: float | None, tol_ppm: float | None, isotopes: b
                 out_mz.append(mz[last:a])
                 out_i.append(inten[last:a])
                 m, i = mz[a:b], inten[a:b]
-                m, i = merge_gaps(m, i, tol_da) if mode == "gap" else centroid(m, i, tol_da, tol_ppm)
+                m, i = centroid(m, i, tol_da, tol_ppm) if mode == "greedy" else merge_gaps(m, i, tol_da, mode == "gap")
                 if isotopes:
                     m, i = remove_isotopes(m, i, tol_da, tol_ppm)
                 out_mz.append(m)
@@ -136,10 +137,12 @@ PEAKS = "array<struct<mz double, intensity double>>"
 def merge_near_peaks(df: DataFrame, tol_da: float | None = 0.05, tol_ppm: float | None = None, mode: str = "greedy", isotopes: bool = False) -> DataFrame:
     """``df`` with near peaks of its sorted ``peaks`` merged; ``peaks`` must not be null.
 
-    ``mode`` is ``greedy`` (centroiding) or ``gap`` (chains of neighbours).
+    ``mode`` is ``greedy`` (centroiding), or ``gap`` or ``plain`` (chains of neighbours, with weighted or plain mean m/z).
     """
-    if tol_da is None and tol_ppm is None:
-        raise ValueError("a tolerance in Da or ppm is needed")
+    if mode not in ("greedy", "gap", "plain"):
+        raise ValueError(f"unknown mode {mode}")
+    if tol_da is None and (tol_ppm is None or mode != "greedy"):
+        raise ValueError("a tolerance is needed, in Da or, for greedy merging, in ppm")
     rest = [c for c in df.columns if c != "peaks"]
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*rest).dtypes) + f", peaks {PEAKS}"
     return df.select(*rest, "peaks").mapInArrow(_reshape(mode, tol_da, tol_ppm, isotopes), schema)

@@ -209,6 +209,13 @@ def centroid_isolated(spark, sf_dir):
     return rows.select("spec_id", F.round("p.mz", 5).alias("mz"), F.round("p.intensity", 3).alias("intensity"))
 
 
+def ion_merge(spark, sf_dir):
+    """Chains of peaks less than 0.05 apart as one, at the plain mean m/z."""
+    df = clean.clean_spectra(all_spectra(spark, sf_dir), noise=0.0, mode="plain", remove_isotope=False, normalize=False)
+    rows = df.select("spec_id", F.explode("peaks").alias("p"))
+    return rows.select("spec_id", F.round("p.mz", 5).alias("mz"), F.round("p.intensity", 3).alias("intensity"))
+
+
 def centroid_full(spark, sf_dir):
     """Greedy centroiding of every spectrum (no SQL form; tested against a plain version)."""
     df = clean.clean_spectra(all_spectra(spark, sf_dir), noise=0.0, remove_isotope=False, normalize=False)
@@ -272,7 +279,7 @@ QUERIES = {
         open_search, open_search_topk, identity_search, neutral_loss_search, hybrid_search, cosine_search, cosine_identity_search,
         cosine_neutral_loss_search, cosine_hybrid_search, mask_search, range_search, precursor_bin_probe, dense_result, metadata_join,
         ppm_filter, self_join_excluded, nearest_feature, spectrum_stats, spectrum_stats_all, spectral_entropy, entropy_weighting, unweighted_halves, clean_filters,
-        clean_filters_all, noise_filter, noise_filter_all, top_n_peaks, centroid_isolated, centroid_full, isotope_removal, neutral_loss_transform, validation_codes,
+        clean_filters_all, noise_filter, noise_filter_all, top_n_peaks, centroid_isolated, ion_merge, centroid_full, isotope_removal, neutral_loss_transform, validation_codes,
         charge_routing, blank_spectra, shared_spectra, entropy_by_library, dedup_ions,
     )
 }
@@ -333,6 +340,9 @@ SELECT DISTINCT spec_id, mz, i AS intensity FROM a WHERE i >= m * 1e-1""",
     "top_n_peaks": f"""WITH {PREP}, a AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY spec_id ORDER BY n DESC, mz) AS r FROM pk)
 SELECT spec_id, ROUND(mz, 6) AS mz, ROUND(n, 6) AS intensity FROM a WHERE r <= 5""",
     "centroid_isolated": f"""WITH {PREP} SELECT spec_id, ROUND(mz, 5) AS mz, ROUND(i, 3) AS intensity FROM mg""",
+    "ion_merge": f"""WITH {_EVERY}, brk AS (SELECT *, CASE WHEN mz - LAG(mz) OVER w < 5e-2 THEN 0 ELSE 1 END AS b FROM raw WHERE i > 0 AND mz > 0 WINDOW w AS (PARTITION BY spec_id ORDER BY mz, i)),
+isl AS (SELECT *, SUM(b) OVER (PARTITION BY spec_id ORDER BY mz, i ROWS UNBOUNDED PRECEDING) AS k FROM brk)
+SELECT spec_id, ROUND(AVG(mz), 5) AS mz, ROUND(SUM(i), 3) AS intensity FROM isl GROUP BY spec_id, k""",
     "neutral_loss_transform": f"""WITH {PREP} SELECT spec_id, ROW_NUMBER() OVER (PARTITION BY spec_id ORDER BY nl) AS peak_no, ROUND(nl, 6) AS loss FROM pk""",
     "validation_codes": """WITH one AS (SELECT * FROM spectrum QUALIFY ROW_NUMBER() OVER (PARTITION BY spec_id ORDER BY loaded_at DESC) = 1),
 g AS (SELECT spec_id, COUNT(*) AS n FROM (SELECT spec_id, precursor_mz, UNNEST(peaks) AS p FROM one) WHERE p.intensity > 0 AND p.mz > 0 AND p.mz <= precursor_mz - 16e-1 GROUP BY spec_id)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import pickle
+import sys
 import tempfile
+import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Parquet tables are looked up as ``{dir}/{name}.parquet`` (a file or a folder).
@@ -71,6 +75,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Shared:
+    """A driver's value as a broadcast that workers load once per process.
+
+    Its classes travel by value, so executors need no installed copy of the package.
+    """
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        data = cloudpickle.dumps(value)
+        self.size = len(data)
+        self._bytes = spark.sparkContext.broadcast(data)
+        self._key = uuid.uuid4().hex
+
+    @property
+    def value(self):
+        held = sys.__dict__.setdefault("_ionloom_shared", {})
+        if self._key not in held:
+            while len(held) >= 4:
+                held.pop(next(iter(held)))
+            held[self._key] = pickle.loads(self._bytes.value)
+        return held[self._key]
+
+
 def small_or_none(df: DataFrame, limit: int) -> int | None:
     """The row count if it is at most ``limit``, else None.  Reads at most limit+1 rows."""
     n = df.limit(limit + 1).count()
