@@ -12,7 +12,6 @@ for the indexed words they may be misspellings of.
 
 from __future__ import annotations
 
-import pickle
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import Shared, spread
 
 #: Words of a run, and so of an index term.
 RUN = 3
@@ -419,7 +418,6 @@ def find_leaks(
     once, documents with equal ids each on their own.
     """
     kind = dict(docs.dtypes)[id_col]
-    sc = docs.sparkSession.sparkContext
     slim = spread(docs.select(F.col(id_col), F.col(text_col)).filter(F.length(text_col) > 0))
     items = items.select(F.col("item_id").cast("long"), "passage", "question").filter("item_id is not null and passage is not null").distinct()
     count, size = items.agg(F.count(F.lit(1)), F.sum(F.length("passage") + F.coalesce(F.length("question"), F.lit(0)))).first()
@@ -430,11 +428,11 @@ def find_leaks(
         rows = sorted({(r["item_id"], r["passage"], r["question"] or "") for r in part.collect()})  # a pass's items only
         if not rows and b:
             continue
-        index = ItemIndex(rows, share, gap)
-        if len(pickle.dumps(index)) > INDEX_BYTES:
+        index = Shared(docs.sparkSession, ItemIndex(rows, share, gap))
+        if index.size > INDEX_BYTES:
             raise ValueError("the index of one pass is too large; take fewer items per pass")
         found = slim.mapInArrow(
-            _leaks(sc.broadcast(index), share, gap), f"id {kind}, item_id long, share double, question_share double, leaked string"
+            _leaks(index, share, gap), f"id {kind}, item_id long, share double, question_share double, leaked string"
         ).withColumnRenamed("id", id_col)
         out = found if out is None else out.unionByName(found)
     return out

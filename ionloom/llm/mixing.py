@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage, spread
+from ..session import Shared, cut_lineage, spread
 
 #: Vocabulary file of a public byte-level tokenizer (base64 token and rank per line);
 #: a parameter of every function that counts tokens.
@@ -123,11 +123,11 @@ def stepped(p: np.ndarray, start: float) -> tuple[list[int], list[int]]:
     return k.tolist(), w[k].tolist()
 
 
-def _read(path: str, at: dict[str, int], model: Model | None):
+def _read(path: str, at: dict[str, int], shared: Shared):
     """mapInArrow function: tokens, memberships and the classifier's guess of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path)
+        enc, model = _encoder(path), shared.value
         size = model.weights.shape[1] if model else 1
         for batch in batches:
             tokens, members, steps, guesses = [], [], [], []
@@ -161,7 +161,7 @@ def read_documents(docs: DataFrame, sources: Sequence[str] = (), model: Model |
     start = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     slim = spread(docs.select(F.col("doc_id").alias("id"), normal(F.col("source")).alias("source"), "text", start.alias("start")))
     schema = f"id {kind}, source string, tokens long, k array<int>, w array<int>, guess int"
-    return slim.mapInArrow(_read(tokenizer, {s: i for i, s in enumerate(sources)}, model), schema)
+    return slim.mapInArrow(_read(tokenizer, {s: i for i, s in enumerate(sources)}, Shared(docs.sparkSession, model)), schema)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

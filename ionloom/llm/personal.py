@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, small_or_none, spread
+from ..session import Shared, cut_lineage, small_or_none, spread
 
 #: Largest name list that is sent to the tasks as it is.  Of a longer one go those names, and beginnings
 #: and ends of names, that some word of the documents has.
@@ -396,7 +396,7 @@ def _names(docs: DataFrame, name_list: DataFrame, text_col: str, limit: int):
     named = name_list.select("name", "name_type").filter(F.col("name").isNotNull()).distinct()
     few = small_or_none(named, limit) is not None
     names = Names(*load_names(named, limit)) if few else occurring_names(docs, named, text_col)
-    return docs.sparkSession.sparkContext.broadcast(names)
+    return Shared(docs.sparkSession, names)
 
 
 def find_personal(docs: DataFrame, name_list: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_limit: int = NAME_LIMIT) -> DataFrame:
