@@ -10,10 +10,11 @@ nothing depends on how many keys there are.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_or_none
@@ -26,33 +27,42 @@ RANGES_PER_PARTITION = 4
 REPEATED_ROWS = 500_000
 
 
-def latest_per_id(df: DataFrame, id_col: str, order_col: str, cols: Sequence[str]) -> DataFrame:
-    """One row per ``id_col``: the one loaded last (ties: the greatest values).
+def _ids(id_col: str | Sequence[str]) -> list[str]:
+    return [id_col] if isinstance(id_col, str) else list(id_col)
 
-    Rows whose id is null are no delivery of anything and are left out.
+
+def _known(ids: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ids])
+
+
+def latest_per_id(df: DataFrame, id_col: str | Sequence[str], order_col: str, cols: Sequence[str]) -> DataFrame:
+    """One row per id (one column or several): the one loaded last (ties: the greatest values).
+
+    Rows with a null id are no delivery of anything and are left out.
     """
+    ids = _ids(id_col)
     pick = F.max(F.struct(F.col(order_col).alias("__o"), *[F.col(c) for c in cols])).alias("__m")
-    return (
-        df.filter(F.col(id_col).isNotNull())
-        .groupBy(id_col)
-        .agg(pick)
-        .select(id_col, *[F.col(f"__m.{c}").alias(c) for c in cols])
-    )
+    return df.filter(_known(ids)).groupBy(*ids).agg(pick).select(*ids, *[F.col(f"__m.{c}").alias(c) for c in cols])
 
 
-def latest_wide(df: DataFrame, id_col: str, order_col: str, cols: Sequence[str]) -> DataFrame:
-    """As :func:`latest_per_id`, for wide rows of which few come more than once.
+def latest_wide(df: DataFrame, id_col: str | Sequence[str], order_col: str, cols: Sequence[str]) -> DataFrame:
+    """As :func:`latest_per_id`, for rows of which few come more than once.
 
     Ids are counted first, which shuffles only ids.  Rows delivered once pass as they are; only those
     delivered repeatedly are reduced.  Where too many are, all rows are.
     """
-    repeated = df.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("__id")
+    ids = _ids(id_col)
+    df = df.filter(_known(ids))
+    named = [f"__id{i}" for i in range(len(ids))]
+    counts = df.groupBy(*[F.col(c).alias(n) for c, n in zip(ids, named, strict=True)]).agg(F.count(F.lit(1)).alias("__c"))
+    repeated = counts.filter("__c > 1").select(*named)
     if small_or_none(repeated, REPEATED_ROWS) is None:
-        return latest_per_id(df, id_col, order_col, cols)
-    slim = df.filter(F.col(id_col).isNotNull()).select(id_col, F.col(order_col).alias("__order"), *cols)
-    once = slim.join(F.broadcast(repeated), F.col(id_col) == F.col("__id"), "left_anti").select(id_col, *cols)
-    again = slim.join(F.broadcast(repeated), F.col(id_col) == F.col("__id"), "left_semi")
-    return once.unionByName(latest_per_id(again, id_col, "__order", cols))
+        return latest_per_id(df, ids, order_col, cols)
+    slim = df.select(*ids, F.col(order_col).alias("__order"), *cols)
+    same = [F.col(c) == F.col(n) for c, n in zip(ids, named, strict=True)]
+    once = slim.join(F.broadcast(repeated), same, "left_anti").select(*ids, *cols)
+    again = slim.join(F.broadcast(repeated), same, "left_semi")
+    return once.unionByName(latest_per_id(again, ids, "__order", cols))
 
 
 class _Arrays:

@@ -32,7 +32,7 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spectra = table(spark, sf_dir, "spectrum")
-    one = hotkeys.latest_per_id(spectra.filter(F.col("comments").isNotNull()), "spec_id", "loaded_at", ["comments"])
+    one = hotkeys.latest_wide(spectra.filter(F.col("comments").isNotNull()), "spec_id", "loaded_at", ["comments"])
     return packed.split_packed(one, "spec_id", "comments")
 
 

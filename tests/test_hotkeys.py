@@ -70,3 +70,10 @@ def test_wide_rows_keep_the_last_delivery(spark, monkeypatch):
         monkeypatch.setattr(H, "REPEATED_ROWS", rows)
         got = H.latest_wide(df, "id", "at", ["peaks"]).collect()
         assert len(got) == 50 and {r.id: r.peaks for r in got} == want
+
+
+def test_ids_of_several_columns(spark):
+    data = [(1, 1, "a", 1), (1, 1, "b", 2), (1, 2, "c", 1), (2, 1, "d", 1), (None, 1, "e", 1), (1, None, "f", 1)]
+    df = spark.createDataFrame(data, "r long, i long, v string, at long")
+    for f in (H.latest_per_id, H.latest_wide):
+        assert {tuple(r) for r in f(df, ["r", "i"], "at", ["v"]).collect()} == {(1, 1, "b"), (1, 2, "c"), (2, 1, "d")}
