@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.hotkeys import latest_wide
 from ..session import cut_lineage, table
 from . import leakage, mixing, personal, quantiles
 
@@ -16,10 +17,9 @@ SLOW = 2.5
 
 def timings(runs: DataFrame) -> DataFrame:
     """One row per (run, query, measure); repeated deliveries count once (the last), negative
-    timings are errors and do not count."""
+    timings are errors and do not count, rows without run or query number belong to none."""
     cols = ["datasource", "ion_mode", "library_number", "fast_entropy_search", "blink"]
-    pick = F.max(F.struct("loaded_at", *cols)).alias("m")
-    one = runs.groupBy("run_id", "id").agg(pick).select("run_id", "m.*").filter(F.col("library_number").isNotNull())
+    one = latest_wide(runs, ["run_id", "id"], "loaded_at", cols).filter(F.col("library_number").isNotNull())
     return one.unpivot(GROUP_KEYS[:-1] + ["run_id"], ["fast_entropy_search", "blink"], "measure", "seconds").filter("seconds >= 0")
 
 
