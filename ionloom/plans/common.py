@@ -21,7 +21,7 @@ def all_spectra(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     if "metadata" in extra:  # maps have no order, their entries have
         df = df.withColumn("metadata", F.map_entries("metadata"))
     # a table of one small file is cleaned on all cores
-    one = spread(latest_wide(df, "spec_id", "loaded_at", ["charge", "precursor_mz", "peaks", *extra]))
+    one = spread(latest_wide(df, "spec_id", "loaded_at", ["charge", "precursor_mz", "peaks", *extra]), df)
     return one.withColumn("metadata", F.map_from_entries("metadata")) if "metadata" in extra else one
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import badrows, drift, hotkeys, packed
-from ..session import table
+from ..session import spread, table
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hotkeys.hot_pairs(table(spark, sf_dir, "spectrum")).select("charge", "mz_bin")
@@ -33,7 +33,7 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spectra = table(spark, sf_dir, "spectrum")
     one = hotkeys.latest_wide(spectra.filter(F.col("comments").isNotNull()), "spec_id", "loaded_at", ["comments"])
-    return packed.split_packed(one, "spec_id", "comments")
+    return packed.split_packed(spread(one, spectra), "spec_id", "comments")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def pair_entropy_similarity(spark, sf_dir):
 
 
 def pair_hybrid_similarity(spark, sf_dir):
-    """Entropy similarity where peaks may also match after the precursor shift (no SQL form)."""
+    """Entropy similarity where peaks may also match after the precursor shift."""
     r = A.hybrid_pair(F.col("a"), F.col("b"), F.col("a_mz") - F.col("b_mz"), TOL)
     p = _pairs(spark, sf_dir).select("query_id", "spec_id", r.alias("r"))
     d = D.distance("entropy", F.col("r"))
@@ -252,6 +252,21 @@ up AS (SELECT query_id, spec_id, CASE WHEN p > 0 THEN POWER(p, CASE WHEN sp < 3
 sc AS (SELECT query_id, spec_id, p / SUM(p) OVER (PARTITION BY query_id, spec_id) AS p, q / SUM(q) OVER (PARTITION BY query_id, spec_id) AS q FROM up),
 we AS (SELECT query_id, spec_id, ROUND({_ENTROPY_D} + 3e-9, 6) + 0e0 AS entropy FROM sc GROUP BY query_id, spec_id)
 SELECT query_id, spec_id, unweighted_entropy, entropy FROM ent JOIN we USING (query_id, spec_id)""",
+    "pair_hybrid_similarity": f"""WITH {PREP}, pr AS (SELECT DISTINCT query_id, spec_id FROM hit), pm AS (SELECT DISTINCT spec_id, precursor_mz AS m FROM nm),
+qa AS (SELECT pr.query_id, pr.spec_id, x.mz, x.n AS v FROM pr JOIN nm x ON x.spec_id = pr.query_id),
+qb AS (SELECT pr.query_id, pr.spec_id, x.mz, x.n AS v, pm.m - x.precursor_mz AS shift FROM pr JOIN nm x ON x.spec_id = pr.spec_id JOIN pm ON pm.spec_id = pr.query_id),
+dm AS (SELECT b.query_id, b.spec_id, b.mz, b.v, MIN(a.mz) FILTER (a.mz >= b.mz - 5e-2 AND a.mz <= b.mz + 5e-2) AS d,
+  MIN(a.mz) FILTER (a.mz >= b.mz + shift - 5e-2 AND a.mz <= b.mz + shift + 5e-2) AS m FROM qb b JOIN qa a ON a.query_id = b.query_id AND a.spec_id = b.spec_id GROUP BY b.query_id, b.spec_id, b.mz, b.v),
+bt AS (SELECT dm.query_id, dm.spec_id, dm.v, CASE WHEN COALESCE(y.v, -1e0) > COALESCE(x.v, -1e0) THEN dm.m ELSE dm.d END AS t FROM dm
+  LEFT JOIN qa x ON x.query_id = dm.query_id AND x.spec_id = dm.spec_id AND x.mz = dm.d LEFT JOIN qa y ON y.query_id = dm.query_id AND y.spec_id = dm.spec_id AND y.mz = dm.m),
+st AS (SELECT a.query_id, a.spec_id, a.v AS p, COALESCE(SUM(bt.v), 0e0) AS q FROM qa a LEFT JOIN bt ON bt.query_id = a.query_id AND bt.spec_id = a.spec_id AND bt.t = a.mz
+  WHERE (a.query_id, a.spec_id) IN (SELECT (query_id, spec_id) FROM dm) GROUP BY a.query_id, a.spec_id, a.mz, a.v
+  UNION ALL SELECT query_id, spec_id, 0e0, v FROM bt WHERE t IS NULL),
+ent AS (SELECT query_id, spec_id, {_h('p')} AS sp, {_h('q')} AS sq FROM st GROUP BY query_id, spec_id),
+up AS (SELECT query_id, spec_id, CASE WHEN p > 0 THEN POWER(p, CASE WHEN sp < 3 THEN 25e-2 + 25e-2 * sp ELSE 1e0 END) ELSE 0e0 END AS p,
+  CASE WHEN q > 0 THEN POWER(q, CASE WHEN sq < 3 THEN 25e-2 + 25e-2 * sq ELSE 1e0 END) ELSE 0e0 END AS q FROM st JOIN ent USING (query_id, spec_id)),
+sc AS (SELECT query_id, spec_id, p / SUM(p) OVER (PARTITION BY query_id, spec_id) AS p, q / SUM(q) OVER (PARTITION BY query_id, spec_id) AS q FROM up)
+SELECT query_id, spec_id, ROUND(1e0 - LEAST(1e0, GREATEST(0e0, ({_ENTROPY_D}) / {D.log(4)!r}e0)), 6) AS score FROM sc GROUP BY query_id, spec_id""",
     "distances_ms": f"""{_AL}, f4 AS (SELECT * FROM al4 SEMI JOIN ends USING (query_id, spec_id)),
 w AS (SELECT query_id, spec_id, POWER(p, 6e-1) * POWER(mz_a, 3e0) AS p, POWER(q, 6e-1) * POWER(mz_b, 3e0) AS q FROM f4),
 d1 AS (SELECT query_id, spec_id, 1e0 - SQRT(SUM(p * q) * SUM(p * q) / (SUM(p * p) * SUM(q * q))) AS d FROM w GROUP BY query_id, spec_id),

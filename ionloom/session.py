@@ -55,14 +55,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ionloom-", dir=os.environ.get("TMPDIR", "/tmp")))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """``df`` in at least as many partitions as there are cores.
 
     For Python work that costs far more than moving its input: a table of one small file
-    would run in one task.  Tables with enough splits are returned as they are.
+    would run in one task.  Tables with enough splits are returned as they are.  ``source`` is the scanned
+    table whose splits count, where ``df`` holds shuffles that counting would run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if (df if source is None else source).rdd.getNumPartitions() < cores else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
