@@ -193,7 +193,7 @@ def fit_classifier(docs: DataFrame, sources: list[str], rows: int = TRAIN_ROWS,
     # at most rows * sources identifiers
     train = docs.filter(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text")
     size = n_features(len(sources))
-    seen = spread(train).mapInArrow(_train(tokenizer, size), "label int, seen array<string>")
+    seen = spread(train, docs).mapInArrow(_train(tokenizer, size), "label int, seen array<string>")
     vector = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="seen", outputCol="x").setBinary(True)
     table = cut_lineage(vector.transform(seen).select("x", "label").coalesce(4))  # a bounded sample
     fit = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=0.02, maxIter=15, aggregationDepth=2).fit(table)
