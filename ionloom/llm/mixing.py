@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import sys
 from collections.abc import Iterator, Sequence
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -41,6 +42,8 @@ TRAIN_ROWS = 400
 #: so many sources that the coefficients would pass COEFFICIENTS.
 FEATURES = 1 << 13
 COEFFICIENTS = 1 << 24
+#: Documents that are scored at once.
+SCORED = 256
 #: Memberships are multiples of 1/STEPS that add up to one.
 STEPS = 10
 #: Cells that one task of a round handles.
@@ -84,14 +87,10 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def _encode(enc, text: str | None, features: int) -> tuple[int, np.ndarray]:
-    """The number of tokens of a whole text, and its distinct features in order."""
-    n, seen = 0, []
-    for piece in _pieces(text) if text else ():
-        ids = np.array(enc.encode_ordinary(piece), np.int64)
-        n += len(ids)
-        seen.append(np.unique(ids % features))
-    return n, np.unique(np.concatenate(seen)) if len(seen) > 1 else seen[0] if seen else np.zeros(0, np.int64)
+def _tokens(enc, text: str | None) -> np.ndarray:
+    """The token numbers of a whole text."""
+    parts = [enc.encode_to_numpy(piece) for piece in _pieces(text)] if text else []
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
 class Model(NamedTuple):
@@ -100,10 +99,14 @@ class Model(NamedTuple):
     weights: np.ndarray
     intercept: np.ndarray
 
-    def posterior(self, features: np.ndarray) -> np.ndarray:
-        z = self.intercept + self.weights[:, features].sum(axis=1)
-        z = np.exp(z - z.max())
-        return z / z.sum()
+    def posteriors(self, tokens: list[np.ndarray]) -> np.ndarray:
+        """One row per document, from which features its tokens have."""
+        seen = np.zeros((len(tokens), self.weights.shape[1]), np.float32)
+        for row, ids in zip(seen, tokens, strict=True):
+            row[ids % len(row)] = 1.0
+        z = seen @ self.weights.T + self.intercept
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return z / z.sum(axis=1, keepdims=True)
 
 
 def n_features(sources: int) -> int:
@@ -128,21 +131,20 @@ def _read(path: str, at: dict[str, int], shared: Shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, model = _encoder(path), shared.value
-        size = model.weights.shape[1] if model else 1
-        for batch in batches:
-            tokens, members, steps, guesses = [], [], [], []
-            for source, text, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                n, features = _encode(enc, text, size)
-                p = model.posterior(features) if model is not None and n else None
+        for batch in chain.from_iterable((b.slice(i, SCORED) for i in range(0, b.num_rows, SCORED)) for b in batches):
+            tokens = [_tokens(enc, t) for t in batch.column(2).to_pylist()]
+            p = model.posteriors(tokens) if model is not None else None
+            members, steps, guesses = [], [], []
+            for i, (source, ids, start) in enumerate(zip(batch.column(1).to_pylist(), tokens, batch.column(3).to_pylist(), strict=True)):
                 own = at.get(source)
-                k, w = ([own], [STEPS]) if own is not None else stepped(p, start) if p is not None else ([], [])
-                tokens.append(n)
+                some = p is not None and len(ids) > 0
+                k, w = ([own], [STEPS]) if own is not None else stepped(p[i], start) if some else ([], [])
                 members.append(k)
                 steps.append(w)
-                guesses.append(None if p is None else int(p.argmax()))
+                guesses.append(int(p[i].argmax()) if some else None)
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(members, ints), pa.array(steps, ints), pa.array(guesses, pa.int32())],
+                [batch.column(0), batch.column(1), pa.array([len(t) for t in tokens], pa.int64()), pa.array(members, ints), pa.array(steps, ints), pa.array(guesses, pa.int32())],
                 ["id", "source", "tokens", "k", "w", "guess"],
             )
 
@@ -173,7 +175,7 @@ def _train(path: str, features: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
         for batch in batches:
-            seen = [[str(f) for f in _encode(enc, t, features)[1].tolist()] for t in batch.column(1).to_pylist()]
+            seen = [[str(f) for f in np.unique(_tokens(enc, t) % features).tolist()] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen, pa.list_(pa.string()))], ["label", "seen"])
 
     return run
