@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import chem as C
 from ..functions import spectral as S
@@ -135,8 +134,10 @@ def embedding_distances(spark, sf_dir):
     from ..functions import distances as D
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("v"))
-    # only ids are put in order, the vectors are joined to them
-    ids = e.select("vec_id", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("next")).filter("next is not null")
+    # only ids are put in order, by ranges; the vectors are joined to them
+    ids = T.running_total(e.select("label", "vec_id").distinct(), ["label"], F.col("vec_id"), F.lit(1)).select("label", "vec_id", F.col("__upto").alias("at"))
+    after = ids.select(F.col("label").alias("next_label"), (F.col("at") - 1).alias("before"), F.col("vec_id").alias("next"))
+    ids = ids.join(after, F.col("label").eqNullSafe(F.col("next_label")) & (F.col("at") == F.col("before"))).select("vec_id", "next")
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     e = e.select("vec_id", "v", total.alias("t"))
     e = ids.join(e, "vec_id").join(e.select(F.col("vec_id").alias("next"), F.col("v").alias("v2"), F.col("t").alias("t2")), "next")
@@ -318,6 +319,7 @@ _SPECTRA = f"{_ONE}, sp AS (SELECT * FROM one WHERE charge IS NOT NULL AND precu
 _TEXT = f"""{_ONE}, tx AS (SELECT spec_id, precursor_mz, NULLIF(regexp_extract(comments, 'InChI\\s*=\\s*"?1S/([A-Za-z0-9]+)/', 1), '') AS formula,
   NULLIF(regexp_extract(comments, 'adduct\\s*=\\s*"?(\\[[^\\]]*\\][0-9]*[+-])', 1), '') AS adduct FROM one)"""
 _N = lambda a: f"COALESCE(SUM(n) FILTER (atom = '{a}'), 0)"
+_O, _H = (f"{C.ATOM_MASS[a]!r}e0" for a in "OH")
 _MASS = " ".join(f"WHEN '{a}' THEN {C.ATOM_MASS[a]!r}e0" for a in ("H", "C", "N", "O", "S", "P"))
 #: The adducts of the test data: public mass, number of molecules, charge.
 _ADDUCTS = ", ".join(
@@ -352,6 +354,15 @@ SELECT spec_id, formula, ROUND(m, 5) AS mass, concat(CASE WHEN h > 0 THEN 'H' ||
 j AS (SELECT spec_id, adduct, precursor_mz, m, z FROM tx JOIN ad USING (adduct) WHERE precursor_mz IS NOT NULL AND NOT isnan(precursor_mz) AND precursor_mz > 0)
 SELECT spec_id, adduct, CAST(z AS BIGINT) AS charge, ROUND(m, 5) AS mass_add, ROUND(precursor_mz * ABS(z) - m, 4) AS mass, ROUND(precursor_mz, 4) AS mz,
   ROUND((precursor_mz * ABS(z) - m + 1.007276e0 * z) / ABS(z), 4) AS simple_mz FROM j""",
+    "formula_candidates": f"""WITH {_ONE}, v AS (SELECT spec_id, precursor_mz FROM one WHERE precursor_mz > 0 AND precursor_mz < 'inf'::DOUBLE),
+w AS (SELECT DISTINCT precursor_mz, precursor_mz - {C.PROTON_MASS!r}e0 - 2e-3 AS lo, precursor_mz - {C.PROTON_MASS!r}e0 + 2e-3 AS hi FROM v),
+c AS (SELECT *, UNNEST(range(0, CAST(FLOOR(hi / 12e0) AS BIGINT) + 1)) AS c FROM w WHERE hi >= 0),
+o AS (SELECT *, UNNEST(range(0, CAST(FLOOR((hi - c * 12e0) / {_O}) AS BIGINT) + 1)) AS o FROM c),
+m AS (SELECT *, c * 12e0 + o * {_O} AS m FROM o),
+h AS (SELECT *, UNNEST(range(GREATEST(0, CAST(CEIL((lo - m) / {_H}) AS BIGINT)), CAST(FLOOR((hi - m) / {_H}) AS BIGINT) + 1)) AS h FROM m),
+f AS (SELECT precursor_mz, concat(CASE c WHEN 0 THEN '' WHEN 1 THEN 'C' ELSE 'C' || c END, CASE o WHEN 0 THEN '' WHEN 1 THEN 'O' ELSE 'O' || o END, CASE h WHEN 0 THEN '' WHEN 1 THEN 'H' ELSE 'H' || h END) AS formula,
+  m + h * {_H} AS mass FROM h WHERE m + h * {_H} BETWEEN lo AND hi)
+SELECT spec_id, formula, ROUND(mass, 5) AS mass FROM v JOIN f USING (precursor_mz)""",
     "unpivot_stats": f"{_RUNS} SELECT datasource, ion_mode, method, COUNT(*) AS n, ROUND(AVG(seconds) + 1e-9, 6) AS mean, ROUND(MAX(seconds) + 1e-9, 6) AS max, {_Q} FROM l GROUP BY datasource, ion_mode, method",
     "percentiles": f"{_RUNS} SELECT library_number, method, COUNT(*) AS n, {_Q} FROM l WHERE library_number IS NOT NULL AND method IN ('fast_entropy_search', 'blink') GROUP BY library_number, method",
     "max_errors": f"{_RUNS} SELECT datasource, ion_mode, MAX(max_difference_for_blink) AS max_error, COUNT(*) AS n FROM r WHERE max_difference_for_blink IS NOT NULL AND NOT isnan(max_difference_for_blink) GROUP BY datasource, ion_mode",
