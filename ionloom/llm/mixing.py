@@ -89,7 +89,7 @@ def _pieces(text: str) -> Iterator[str]:
 
 def _tokens(enc, text: str | None) -> np.ndarray:
     """The token numbers of a whole text."""
-    parts = [enc.encode_to_numpy(piece) for piece in _pieces(text)] if text else []
+    parts = [np.array(enc.encode_ordinary(piece), np.uint32) for piece in _pieces(text)] if text else []
     return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
