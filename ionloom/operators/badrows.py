@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: The columns that the lines of a spectrum table hold.
 COLUMNS = ("spec_id", "scan_number", "ms_level", "precursor_mz", "charge", "rt", "num_peaks", "peaks", "title")
 DELIMITERS = (",", ";", "\t")
@@ -44,6 +46,7 @@ def _lines(raw: DataFrame) -> DataFrame:
     body = raw.filter(
         (F.col("line_no") != 1) & (F.length("line_text") > 0) & ~F.startswith(F.col("line_text"), F.lit("#"))
     ).select("file_name", "line_no", "line_text")
+    body = spread(body, raw)  # parsing costs far more than moving a small table
     return body.join(F.broadcast(heads) if size <= HEADER_BYTES else heads, "file_name", "left").withColumn("sep", F.coalesce("sep", F.lit(0)))
 
 
