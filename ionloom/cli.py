@@ -1,7 +1,7 @@
 """Two steps on files: store a library, then search it.
 
-    spark-submit -m ionloom.cli index library.msp lib/
-    spark-submit -m ionloom.cli search queries.mgf lib/ hits/ --mode open --top 10
+    python -m ionloom.cli index library.msp lib/
+    python -m ionloom.cli search queries.mgf lib/ hits/ --mode open --top 10
 
 Both take ``--config FILE``, a JSON object of option names and values; options on the command
 line count before it.
